@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.bpe import decode_ids, encode_texts, read_definition
 from tessella.llm.decontamination import decontaminate
 from tessella.llm.quality import quality_rules
 from tessella.llm.substrings import remove_repeated
 
 
+def tokenizer(name: str) -> str:
+    """A public tokenizer's definition from the installed files."""
+    import public_tokenizers
+
+    return read_definition(public_tokenizers.path(name))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -19,6 +27,13 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    definition = tokenizer("byte_bpe_50k.json")
+    out = decode_ids(encode_texts(read(spark, sf_dir, "documents"), definition), definition)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -32,6 +47,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substrings": op1_substrings,
+    "op4_bpe": op4_bpe,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
 }
