@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.bpe import decode_ids, encode_texts, read_definition
 from tessella.llm.decontamination import decontaminate
+from tessella.llm.licenses import scan_licenses
 from tessella.llm.quality import quality_rules
 from tessella.llm.substrings import remove_repeated
 
@@ -34,6 +35,27 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def license_digest(scanned: DataFrame) -> DataFrame:
+    """Counts and labels from the spans of scan_licenses."""
+    base = F.filter("spans", lambda s: s["base"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    first = F.transform(base, lambda s: s["first"])
+    return scanned.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(first).alias("first_word"),
+        F.array_max(first).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(scan_licenses(read(spark, sf_dir, "documents")))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -48,6 +70,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op4_bpe": op4_bpe,
+    "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
 }

@@ -86,3 +86,18 @@ def ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     ends = np.cumsum(counts)
     return np.arange(total) + np.repeat(first - (ends - counts), counts)
+
+
+_BYTES = np.arange(256)
+_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
+_LETTER = (_BYTES >= 128) | ((_BYTES >= 97) & (_BYTES <= 122)) | ((_BYTES >= 48) & (_BYTES <= 57))
+
+
+def letter_words(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a-z, 0-9 and all beyond ASCII after A-Z became a-z: buffer, starts, lengths, words of each text."""
+    low = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
+    inside = np.concatenate([[False], _LETTER[low], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, lens = edge[::2], edge[1::2] - edge[::2]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return low.tobytes(), starts, lens, np.diff(np.searchsorted(starts, ends, side="left"), prepend=0)
