@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.bpe import decode_ids, encode_texts, read_definition
 from tessella.llm.decontamination import decontaminate
+from tessella.llm.language import identify
 from tessella.llm.licenses import scan_licenses
 from tessella.llm.quality import quality_rules
 from tessella.llm.substrings import remove_repeated
@@ -35,6 +36,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = identify(read(spark, sf_dir, "documents"))
+    return out.select("doc.doc_id", "language", F.round("probability", 6).alias("probability"), "accepted")
+
+
 def license_digest(scanned: DataFrame) -> DataFrame:
     """Counts and labels from the spans of scan_licenses."""
     base = F.filter("spans", lambda s: s["base"])
@@ -70,6 +76,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op4_bpe": op4_bpe,
+    "op5_language": op5_language,
     "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
