@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from tessella.llm.language import identify
 from tessella.llm.licenses import scan_licenses
 from tessella.llm.quality import quality_rules
 from tessella.llm.substrings import remove_repeated
+from tessella.llm.tokenfiles import read_tokens, write_tokens
+from tessella.session import shared_dir
 
 
 def tokenizer(name: str) -> str:
@@ -73,6 +77,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_distance", "common_distance")
 
 
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), path, end=2)
+    return read_tokens(spark, path, digest=True)
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op4_bpe": op4_bpe,
@@ -80,6 +90,7 @@ QUERIES = {
     "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
+    "op9_tokens": op9_tokens,
 }
 
 ORACLE_SQL: dict[str, str] = {
