@@ -19,14 +19,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.textbits import chunks, ragged
+from tessella.llm.textbits import ragged, slices, spread
 
 #: The pre-tokenizer's pattern: fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters worked on at once, and words that a worker remembers with their ids.
-CHUNK, REMEMBERED = 4_000_000, 400_000
+CHUNK, REMEMBERED = 2_000_000, 250_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -62,7 +63,7 @@ class ByteBpe:
         self.token_at = np.cumsum(self.token_lens) - self.token_lens
         self.pieces = regex.compile(PATTERN)
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.size + b
@@ -107,6 +108,13 @@ class ByteBpe:
         owner = np.concatenate(owners)
         return np.concatenate(ids)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
+    def learn(self, words: list[str]) -> None:
+        flat, lens = self.merge_words([w.encode() for w in words if w not in self.added])
+        flat, ends = flat.astype(np.int32), np.cumsum(lens)
+        runs = zip((ends - lens).tolist(), ends.tolist(), strict=True)
+        for w in words:
+            self.known[w] = np.int32(self.added[w]).tobytes() if w in self.added else flat[slice(*next(runs))].tobytes()
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
         pieces: list[str] = []
@@ -119,22 +127,9 @@ class ByteBpe:
             else:
                 pieces += self.pieces.findall(text)
             counts.append(len(pieces) - before)
-        number: dict[str, int] = {}
-        which = np.array([number.setdefault(p, len(number)) for p in pieces], np.int64)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        unseen = [p for p in number if p not in self.known]
-        flat, lens = self.merge_words([p.encode() for p in unseen if p not in self.added])
-        ends = iter(zip((np.cumsum(lens) - lens).tolist(), np.cumsum(lens).tolist(), strict=True))
-        for p in unseen:
-            self.known[p] = np.array([self.added[p]], np.int32) if p in self.added else flat[slice(*next(ends))].astype(np.int32)
-        found = [self.known[p] for p in number]
-        lens = np.array([len(x) for x in found], np.int64)
-        table = np.concatenate([np.zeros(0, np.int32), *found])
-        per_piece = lens[which]
-        ids = table[ragged((np.cumsum(lens) - lens)[which], per_piece)]
-        edges = np.concatenate([[0], np.cumsum(per_piece)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        return ids, np.diff(edges)
+        return spread(pieces, counts, self.known, self.learn)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """UTF-8 of each run of ids; what is no valid UTF-8 is replaced."""
@@ -157,28 +152,29 @@ def read_definition(path: str) -> str:
         return f.read()
 
 
-def encode_texts(docs: DataFrame, definition: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Rows doc (a struct of the columns in keep) and ids array<int>."""
-    from pyspark.sql import functions as F
-
+def encode_texts(docs: DataFrame, definition: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", decode: bool = False) -> DataFrame:
+    """Rows doc (a struct of the columns in keep), ids array<int> and, if asked for, decoded, the text of these ids."""
     sent = docs.sparkSession.sparkContext.broadcast(definition)
     df = docs.select(F.struct(*keep).alias("doc"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(sent.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts, CHUNK):
-                ids, counts = model.encode(texts[a:b])
+            for a, b in slices(batch.column(1), CHUNK):
+                ids, counts = model.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc", "ids"])
+                columns = [batch.column(0).slice(a, b - a), lists]
+                if decode:
+                    columns.append(pa.array(model.decode(ids, counts), pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "ids", "decoded"][: len(columns)])
 
-    return df.mapInArrow(run, T.StructType([df.schema["doc"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    fields = [df.schema["doc"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    return df.mapInArrow(run, T.StructType(fields if decode else fields[:2]))
 
 
 def decode_ids(encoded: DataFrame, definition: str) -> DataFrame:
-    """Add decoded, the text of ids."""
+    """Add decoded, the text of stored ids."""
     sent = encoded.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.bpe import decode_ids, encode_texts, read_definition
+from tessella.llm.bpe import encode_texts, read_definition
 from tessella.llm.decontamination import decontaminate
 from tessella.llm.language import identify
 from tessella.llm.licenses import scan_licenses
@@ -35,7 +35,7 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     definition = tokenizer("byte_bpe_50k.json")
-    out = decode_ids(encode_texts(read(spark, sf_dir, "documents"), definition), definition)
+    out = encode_texts(read(spark, sf_dir, "documents"), definition, decode=True)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 K1, K2, K3, K4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
@@ -37,6 +40,33 @@ def chunks(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts have about `most` bytes together; a longer text stands alone."""
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).tolist()
+    first = size = 0
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
+            yield first, i
+            first, size = i, 0
+        size += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def spread(pieces: list[str], counts: list[int], ids: dict[str, bytes], learn: Callable[[list[str]], None]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts given as runs of pieces, and how many each text has. ids: each piece's as 32-bit integers; learn adds pieces."""
+    number: dict[str, int] = defaultdict(count().__next__)
+    which = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+    if unseen := [p for p in number if p not in ids]:
+        learn(unseen)
+    found = [ids[p] for p in number]
+    lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    per_piece = lens[which]
+    out = np.frombuffer(b"".join(found), np.int32)[ragged((np.cumsum(lens) - lens)[which], per_piece)]
+    edges = np.concatenate([[0], np.cumsum(per_piece)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+    return out, np.diff(edges)
+
+
 def word_hashes(buf: bytes, starts: np.ndarray, lens: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit hash of each byte slice, eight bytes a step."""
     eight = np.ndarray((len(buf) + 1,), "<u8", buffer=buf + bytes(8), strides=(1,))

@@ -16,7 +16,7 @@ def test_matches_the_library(spark):
     library = Tokenizer.from_file(PATH)
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id bigint, text string, ids string")
     definition = read_definition(PATH)
-    for r in decode_ids(encode_texts(df, definition), definition).collect():
+    for r in [*decode_ids(encode_texts(df, definition), definition).collect(), *encode_texts(df, definition, decode=True).collect()]:
         expected = library.encode(texts[r.doc["doc_id"]] or "", add_special_tokens=False).ids
         assert r["ids"] == expected
         assert r.decoded == library.decode(expected, skip_special_tokens=False)
