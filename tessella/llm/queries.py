@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from tessella.llm.bpe import encode_texts, read_definition
 from tessella.llm.decontamination import decontaminate
+from tessella.llm.jaccard import NO_ID, similar_documents
 from tessella.llm.language import identify
 from tessella.llm.licenses import scan_licenses
+from tessella.llm.pages import extract
 from tessella.llm.quality import quality_rules
 from tessella.llm.substrings import remove_repeated
 from tessella.llm.tokenfiles import read_tokens, write_tokens
+from tessella.llm.toxicity import score, train
 from tessella.session import shared_dir
 
 
@@ -33,6 +36,17 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: its class (the least id in it) and how many other documents are similar to it."""
+    out = similar_documents(read(spark, sf_dir, "documents"))
+    shown = lambda c, name: F.when(F.col(c) != NO_ID, F.col(c)).alias(name)
+    return out.select(shown("id", "doc_id"), shown("label.id", "class_id"), "n_links")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     definition = tokenizer("byte_bpe_50k.json")
     out = encode_texts(read(spark, sf_dir, "documents"), definition, decode=True)
@@ -83,14 +97,23 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, digest=True)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = score(docs, train(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
+    "op2_pages": op2_pages,
+    "op3_jaccard": op3_jaccard,
     "op4_bpe": op4_bpe,
     "op5_language": op5_language,
     "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
     "op9_tokens": op9_tokens,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
