@@ -48,9 +48,9 @@ def benchmark_windows(items: DataFrame, size: int) -> DataFrame:
     return grouped.select(F.sha2(F.array_join("words", " "), 256).alias("wid"), F.size("words").alias("n"), "words", "items")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Documents with a join key: the id and a hash of the text, which tells rows of one id apart."""
-    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.hash("text").alias("tag"))
+    return docs.select(F.struct(*keep).alias("doc"), "text", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.hash("text").alias("tag"))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -82,25 +82,25 @@ def phrase_starts(index: DataFrame, rare: DataFrame) -> DataFrame:
     return first.join(at(2), ["wid", "id", "tag", "start"]).unionByName(first.join(bounded(single), "wid", "left_semi").select("wid", "id", "tag", "start"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10) -> DataFrame:
-    """Rows doc_id, text, n_words, hits, n_hit, items: every document with the exact matches found in it.
+def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Rows doc (a struct of the columns in keep), text, n_words, hits, n_hit, items: each document with its exact matches.
 
     hits: sorted structs (start, n, items), one a place; n_hit counts the words inside any; items are the sorted
     distinct ids of items with a window there.
     """
-    docs = keyed(docs)
+    docs = keyed(docs, keep)
     windows = materialize(benchmark_windows(items, window), "windows")
     rare = materialize(rarest_terms(docs, windows, 2), "rare-terms")
     index = postings(docs, rare.select("term").distinct())
     starts = phrase_starts(index, rare).join(bounded(windows), "wid")
     per_doc = starts.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n", "words", "items")).alias("may")).withColumnsRenamed({"id": "found_id", "tag": "found_tag"})
-    df = docs.join(per_doc, (F.col("id") == F.col("found_id")) & (F.col("tag") == F.col("found_tag")), "left").select("doc_id", "text", "may", words_of(F.col("text")).alias("w"))
+    df = docs.join(per_doc, (F.col("id") == F.col("found_id")) & (F.col("tag") == F.col("found_tag")), "left").select("doc", "text", "may", words_of(F.col("text")).alias("w"))
     exact = F.filter(F.coalesce("may", F.array().cast(df.schema["may"].dataType)), lambda c: F.slice(F.col("w"), c["start"] + 1, c["n"]) == c["words"])
     df = df.withColumn("hits", F.when(F.col("may").isNotNull(), F.array_sort(F.transform(exact, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["items"].alias("items"))))))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     cover = F.aggregate("hits", zero, lambda a, h: F.struct(F.greatest(a["end"], h["start"] + h["n"]).alias("end"), (a["n"] + F.greatest(F.lit(0), h["start"] + h["n"] - F.greatest(a["end"], h["start"]))).alias("n")))
     found = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
-    return df.select("doc_id", "text", F.size("w").cast("long").alias("n_words"), "hits", F.coalesce(cover["n"], F.lit(0)).cast("long").alias("n_hit"), F.coalesce(found, F.array().cast("array<string>")).alias("items"))
+    return df.select("doc", "text", F.size("w").cast("long").alias("n_words"), "hits", F.coalesce(cover["n"], F.lit(0)).cast("long").alias("n_hit"), F.coalesce(found, F.array().cast("array<string>")).alias("items"))
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, *, within: int = 8, window: int = 10) -> DataFrame:

@@ -28,7 +28,7 @@ def brute(docs, items, k=10):
 def run(spark, docs, items):
     d = spark.createDataFrame([(*x, 1, "z") for x in docs], "doc_id bigint, text string, id int, term string")
     b = spark.createDataFrame([(*x, "q") for x in items], "item_id bigint, text string, w string")
-    return sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in decontaminate(d, b).collect()), key=str)
+    return sorted(((r.doc["doc_id"], r.n_words, r.n_hit, list(r["items"])) for r in decontaminate(d, b).collect()), key=str)
 
 
 def test_matches_brute_force(spark):
