@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.textbits import binaries, chunks
+from tessella.llm.textbits import binaries, chunks, modest_batches
 from tessella.session import materialize
 
 BUCKETS = 1 << 15
@@ -129,6 +129,7 @@ def identify(docs: DataFrame, *, languages: tuple[str, ...] = ("de", "en", "es",
     names a column of declared languages, right with probability `trust`. Accepted: a listed language with a
     probability of `least` or more.
     """
+    modest_batches(docs.sparkSession)
     model = fit(docs, languages, text=text, label=label, rows=sample_rows)
     hosted = F.coalesce(F.col(host).cast("string"), F.lit("")) if host else F.lit("")
     said = F.lower(F.substring(F.col(declared).cast("string"), 1, 2)) if declared else F.lit(None).cast("string")

@@ -9,6 +9,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 K1, K2, K3, K4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
@@ -40,6 +41,16 @@ def chunks(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+#: Bytes of an Arrow batch; the session's default of 64 MB is held several times over by each Python worker.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864", 8 << 20
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Ask for small Arrow batches, unless the session has a size of its own."""
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT).rstrip("b") == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts have about `most` bytes together; a longer text stands alone."""
     sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).tolist()

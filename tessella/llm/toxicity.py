@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.decontamination import words_of
-from tessella.llm.textbits import letter_words, slices, word_hashes
+from tessella.llm.textbits import letter_words, modest_batches, slices, word_hashes
 
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 #: Words of a model and labelled texts that calibrate it, at most.
 MOST_WORDS, CALIBRATION_ROWS = 20_000, 20_000
 #: Labelled rows that are broadcast at most; more are joined by a shuffle.
@@ -163,6 +163,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, *, drift: float = 0.5, least_z: float = 2.5, least_score: float = 1.5, prior: float = 0.01, significant: float = 0.05) -> Toxicity:
     """A model from all labelled rows that are not held out; a word counts once in a text."""
+    modest_batches(docs.sparkSession)
     rows = labelled(docs, labels)
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n = (size.get(1, 0), size.get(0, 0))
@@ -194,6 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, *, drift: float = 0.5, least_z: fl
 
 def score(docs: DataFrame, model: Toxicity, *, significant: float = 0.05) -> DataFrame:
     """Rows doc_id, held_out, score, passages: significant segments (first word, words, score, expected by chance)."""
+    modest_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("first", pa.int32()), ("n", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())])
 
