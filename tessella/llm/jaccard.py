@@ -172,7 +172,8 @@ def verified(docs: DataFrame, placed: DataFrame, n: int, threshold: float) -> Da
     """node, group, links: per task and node its class there and its links there. placed: node, component, weight, size."""
     sums = placed.groupBy("component").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
     small = placed.join(sums, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = docs.join(small, (F.col("id") == F.col("node.id")) & (F.col("tag") == F.col("node.tag"))).select("node", "component", "weight", "block", "blocks", "text")
+    # Always by a shuffle: this side grows with the documents, and a plan that changes with its size cannot be foreseen.
+    rows = docs.join(small.hint("merge"), (F.col("id") == F.col("node.id")) & (F.col("tag") == F.col("node.tag"))).select("node", "component", "weight", "block", "blocks", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
