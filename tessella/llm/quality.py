@@ -81,9 +81,8 @@ def quality_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def jensen_shannon(counts: Column, reference: list[float]) -> Column:
-    """Square root of the divergence in bits, 0 to 1, between counts (any sum above 0) and a distribution."""
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+def jensen_shannon(counts: Column, total: Column, reference: list[float]) -> Column:
+    """Square root of the divergence in bits, 0 to 1, between counts (of a sum above 0) and a distribution."""
     part = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
 
     def one(x: Column, q: Column) -> Column:
@@ -115,9 +114,10 @@ def quality_rules(docs: DataFrame, *, languages: tuple[str, ...] = ("de", "en",
     """
     counts = materialize(quality_counts(docs), "quality-counts")
     references = language_references(counts, languages)
-    nearest = lambda of, i: F.least(*[jensen_shannon(F.col(of), r[i]) for r in references.values()], F.lit(1.0)) if references else F.lit(None).cast("double")
-    out = counts.withColumn("chars_distance", F.when(F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x) >= min_chars, nearest("chars", 0)))
-    out = out.withColumn("common_distance", F.when(F.col("n_words") >= min_words, nearest("common", 1)))
+    nearest = lambda of, total, i: F.least(*[jensen_shannon(F.col(of), F.col(total), r[i]) for r in references.values()], F.lit(1.0)) if references else F.lit(None).cast("double")
+    out = counts.withColumn("n_chars", F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x))
+    out = out.withColumn("chars_distance", F.when(F.col("n_chars") >= min_chars, nearest("chars", "n_chars", 0)))
+    out = out.withColumn("common_distance", F.when(F.col("n_words") >= min_words, nearest("common", "n_words", 1)))
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     diverges = F.coalesce(F.col("chars_distance") > max_chars_distance, F.lit(False)) | F.coalesce(F.col("common_distance") > max_common_distance, F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~diverges)
