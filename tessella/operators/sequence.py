@@ -20,7 +20,9 @@ LAST = 2**53 - 1
 
 
 def call_items(edges: DataFrame) -> DataFrame:
-    """src, item, dst, relation, certain: the numbered items of every node. edges may have call_orders (an array)."""
+    """src, item, dst, relation, certain: the numbered items of every node, one an occurrence or an edge without any."""
+    if "occurrences" in edges.columns:
+        edges = edges.select("src", "dst", "relation", "certainty", "line", F.explode_outer("occurrences").alias("o")).withColumn("call_order", F.col("o.order"))
     order = F.coalesce(F.col("call_order"), F.col("line")).cast("long")
     by = Window.partitionBy("src").orderBy(F.coalesce(order, F.lit(LAST)), "dst", "relation")
     return edges.withColumn("item", F.row_number().over(by)).select("src", "item", "dst", "relation", (F.col("certainty") != "POSSIBLE").alias("certain"))
