@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import materialize
+
 UNLIMITED = 0
 EDGE_KEY = ["src", "dst", "relation"]
 
@@ -20,6 +22,10 @@ class Graph:
     nodes: DataFrame
     edges: DataFrame
 
+    def stored(self) -> Graph:
+        """The same graph written once, for queries that read it in many rounds."""
+        return Graph(materialize(self.nodes, "nodes"), materialize(self.edges, "edges"))
+
     def adjacency(self, direction: str) -> DataFrame:
         """cur, next, key and the edge: steps that end at a known node. key orders the steps of one node."""
         ends = ("dst", "src") if direction == "upstream" else ("src", "dst")

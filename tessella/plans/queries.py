@@ -18,11 +18,11 @@ def _services(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def _transitions(spark: SparkSession, sf_dir: str) -> Graph:
-    return load(spark, sf_dir, "transitions")
+    return load(spark, sf_dir, "transitions").stored()
 
 
 def _lineage(spark: SparkSession, sf_dir: str, depth: int = 2) -> tuple[Graph, DataFrame, DataFrame]:
-    graph = _services(spark, sf_dir)
+    graph = _services(spark, sf_dir).stored()
     return graph, traversal.lineage_nodes(graph, CUSTOMER, depth), traversal.lineage_edges(graph, CUSTOMER, depth)
 
 
@@ -51,7 +51,7 @@ def gr01_cyclic_edges_bounded(spark, sf_dir):
 
 
 def gr01_paths(spark, sf_dir):
-    return traversal.lineage_paths(_services(spark, sf_dir), CUSTOMER, 2).select("direction", _text("path").alias("path"))
+    return traversal.lineage_paths(_services(spark, sf_dir).stored(), CUSTOMER, 2).select("direction", _text("path").alias("path"))
 
 
 def gr02_ranked_paths(spark, sf_dir):
@@ -64,11 +64,11 @@ def gr02_ranked_paths(spark, sf_dir):
 
 
 def gr03_traces(spark, sf_dir):
-    return traces.traces(_services(spark, sf_dir), CUSTOMER, 3).select("direction", _text("labels").alias("trace"), F.col("rank").cast("long").alias("place"))
+    return traces.traces(_services(spark, sf_dir).stored(), CUSTOMER, 3).select("direction", _text("labels").alias("trace"), F.col("rank").cast("long").alias("place"))
 
 
 def gr03_trace_nodes(spark, sf_dir):
-    graph = _services(spark, sf_dir)
+    graph = _services(spark, sf_dir).stored()
     return traces.trace_nodes(traces.traces(graph, CUSTOMER, 3), graph.target(CUSTOMER))
 
 
@@ -97,11 +97,11 @@ def gr07_impact_edges(spark, sf_dir):
 
 
 def gr07_impact_paths(spark, sf_dir):
-    return traces.impact_paths(_services(spark, sf_dir), CUSTOMER, 1).select(_text("labels").alias("trace"))
+    return traces.impact_paths(_services(spark, sf_dir).stored(), CUSTOMER, 1).select(_text("labels").alias("trace"))
 
 
 def gr08_reachable(spark, sf_dir):
-    return traversal.reachable(load(spark, sf_dir, "regions"), REGION).select("id", F.col("depth").cast("long").alias("depth"))
+    return traversal.reachable(load(spark, sf_dir, "regions").stored(), REGION).select("id", F.col("depth").cast("long").alias("depth"))
 
 
 def gr09_endpoints(spark, sf_dir):
@@ -125,12 +125,12 @@ def gr10_endpoint_labels(spark, sf_dir):
 
 
 def gr11_sequence(spark, sf_dir):
-    got = sequence.sequence(_services(spark, sf_dir), CUSTOMER, depth=4).where("segment = 0")
+    got = sequence.sequence(_services(spark, sf_dir).stored(), CUSTOMER, depth=4).where("segment = 0")
     return got.select(F.array_join(F.col("step").cast("array<string>"), ".").alias("step"), "src", "dst", "relation", "certain", F.col("number").cast("long").alias("number"))
 
 
 def gr11_async_segments(spark, sf_dir):
-    got = sequence.sequence(_services(spark, sf_dir), CUSTOMER, depth=4).where("segment > 0")
+    got = sequence.sequence(_services(spark, sf_dir).stored(), CUSTOMER, depth=4).where("segment > 0")
     return got.select("src", "dst", F.col("segment").cast("long").alias("segment"), F.col("number").cast("long").alias("number"))
 
 
@@ -146,7 +146,7 @@ def agg01_evidence_union(spark, sf_dir):
 
 
 def agg02_edge_upsert(spark, sf_dir):
-    return _transitions(spark, sf_dir).edges.select("src", "dst", "relation", F.col("line").cast("long").alias("n"))
+    return load(spark, sf_dir, "transitions").edges.select("src", "dst", "relation", F.col("line").cast("long").alias("n"))
 
 
 def agg03_summary(spark, sf_dir):
@@ -159,7 +159,7 @@ def agg05_legend(spark, sf_dir):
 
 
 def agg06_stats(spark, sf_dir):
-    return traversal.lineage_stats(_services(spark, sf_dir), CUSTOMER, 2).select("node_count", "edge_count", F.col("max_hop").cast("long").alias("max_hop"))
+    return traversal.lineage_stats(_services(spark, sf_dir).stored(), CUSTOMER, 2).select("node_count", "edge_count", F.col("max_hop").cast("long").alias("max_hop"))
 
 
 def agg07_degrees(spark, sf_dir):
