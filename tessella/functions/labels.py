@@ -116,3 +116,38 @@ def parse_depth(raw: str | None) -> int:
     except ValueError:
         return 0
     return int(value) if 0 < value < float("inf") else 0
+
+
+def node_kind(kind: Column, callable_: Column, label: Column) -> Column:
+    """A node's kind: as given, else callable, else module by the label's suffix, else symbol."""
+    return F.coalesce(kind, F.when(callable_, "callable"), F.when(label.rlike(r"\.[tj]s\z"), "module"), F.lit("symbol"))
+
+
+def absolute_path(file: Column, root: str) -> Column:
+    """The file below root, unless it is absolute; null without a file."""
+    slashed = F.regexp_replace(file, r"\\", "/")
+    below = F.concat(F.lit(root.replace("\\", "/").removesuffix("/") + "/"), F.regexp_replace(slashed, "^/", ""))
+    return F.when(slashed != "", F.when(slashed.rlike("^([a-zA-Z]:)?/"), slashed).otherwise(below if root else slashed))
+
+
+def editor_url(file: Column, line: Column, root: str, scheme: str = "vscode") -> Column:
+    at = F.when(line.isNotNull(), F.concat(F.lit(":"), line.cast("string"))).otherwise("")
+    return F.concat(F.lit(f"{scheme}://file/"), absolute_path(file, root), at)
+
+
+def css_colour(number: Column) -> Column:
+    """A whole number as a six-digit hexadecimal colour."""
+    return F.concat(F.lit("#"), F.lpad(F.lower(F.hex(number)), 6, "0"))
+
+
+#: Labels and kinds that the optional noise gate hides: fixed values.
+NOISE_LABELS = "randomuuid trim touppercase tolowercase json.parse json.stringify object.assign promise then catch finally constructor query connect disconnect listen register inject send end code status log error warn info buildapp start server fastify kafka producer consumer".split()
+NOISE_KINDS = ("import", "type", "file", "module")
+
+
+def is_noise(label: Column, kind: Column, file: Column, *, enabled: bool = False) -> Column:
+    """Whether the noise gate hides a node; nothing but missing nodes while it is off."""
+    if not enabled:
+        return label.isNull()
+    plain, path = F.lower(plain_label(label)), F.lower(F.regexp_replace(F.coalesce(file, F.lit("")), r"\\", "/"))
+    return label.isNull() | F.coalesce(kind.isin(*NOISE_KINDS), F.lit(False)) | plain.isin(*NOISE_LABELS) | plain.rlike(r"\.[tj]s\z") | path.rlike(r"node_modules|vitest|fastify/lib|server\.ts\z")

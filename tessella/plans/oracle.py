@@ -42,6 +42,11 @@ _SCORED = f"{_SCORES}, scored AS (SELECT direction, path, ord, (SELECT CAST(sum(
 _LABEL_SCORE = "(len({0}) + list_sum(list_transform({0}, lambda s: (CASE WHEN contains(lower(s), 'route') THEN 3 ELSE 0 END) + (CASE WHEN regexp_matches(lower(s), 'controller|handler') THEN 2 ELSE 0 END) + (CASE WHEN regexp_matches(lower(s), 'buildapp|bootstrap|createapp') THEN -3 ELSE 0 END))))"
 
 
+_RANKED = f"{_SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY score DESC, len(path) DESC, ord) AS place FROM scored)"
+_PAGE_LINKS = """WITH m AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)?', 1) AS module FROM pages), l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS href FROM pages),
+    resolved AS (SELECT page_id, href, coalesce((SELECT module FROM m WHERE module = href), (SELECT min(module) FROM m WHERE '/' || split_part(module, '/', 2) = href AND starts_with(module, href || '/'))) AS module FROM l)"""
+
+
 def _traces(depth: int) -> str:
     return f"""{_walks('services', CUSTOMER, depth)},
         names AS (SELECT id, {_NAME} AS name FROM nodes),
@@ -127,4 +132,19 @@ ORACLE_SQL = {
         array_to_string(list_slice(string_split(file, '/'), -2, -1), '/') AS tail FROM nodes""",
     "sc09_escaped": """SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS digest,
         regexp_replace(regexp_replace(substr(text, 1, 60), '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS file FROM documents""",
+    "gr12_columns": f"{_EVENTS}, {_RANKED}, d AS (SELECT direction, place, unnest(path) AS id, generate_subscripts(path, 1) - 1 AS i FROM ranked), s AS (SELECT id, CASE WHEN direction = 'upstream' THEN -i ELSE i END AS depth, direction, place FROM d) SELECT id, CAST(depth AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(depth) DESC, direction DESC, place) AS r FROM s) WHERE r = 1",
+    "gr13_best_through": f"{_EVENTS}, {_RANKED}, d AS (SELECT *, unnest(path) AS id FROM ranked) SELECT id, array_to_string(CASE WHEN direction = 'upstream' THEN list_reverse(path) ELSE path END, ' > ') AS path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY len(path) DESC, direction DESC, place) AS r FROM d) WHERE r = 1",
+    "gr14_highlighted": f"{_EVENTS}, h AS (SELECT path, unnest(range(1, len(path))) AS i FROM ends WHERE list_contains(path, 'purchase')) SELECT DISTINCT path[i] AS src, path[i + 1] AS dst FROM h",
+    "gr15_default_path": f"{_EVENTS}, {_RANKED} SELECT array_to_string(path, ' > ') AS path FROM ranked WHERE direction = 'downstream' AND place = 1",
+    "gr16_edges_between": f"{_EVENTS}, h AS (SELECT path, unnest(range(1, len(path))) AS i FROM ends WHERE list_contains(path, 'purchase')), s AS (SELECT DISTINCT path[i] AS src, path[i + 1] AS dst FROM h) SELECT src, dst, coalesce((SELECT min(relation) FROM edges AS e WHERE e.src = s.src AND e.dst = s.dst), 'calls') AS relation FROM s",
+    "gr17_trace_steps": f"{_EVENTS}, {_RANKED} SELECT id, CAST(nullif(list_position(path, id), 0) AS BIGINT) AS step FROM nodes, (SELECT path FROM ranked WHERE direction = 'downstream' AND place = 1)",
+    "gr18_message_rows": f"""WITH RECURSIVE {with_clauses('services')}, {_ITEMS.format(CUSTOMER).replace('depth < 4', 'depth < 2')}, q AS (SELECT DISTINCT e.src, e.dst FROM scope AS s JOIN edges AS e ON e.src = s.dst AND e.relation = 'CONSUMED_BY' WHERE s.relation = 'PUBLISHES'),
+        c AS (SELECT (SELECT count(*) FROM scope) AS a, (SELECT count(*) FROM q) AS b) SELECT a + b AS n, a + 2 * b AS last, a + b AS n_rows FROM c""",
+    "win06_lanes": f"WITH {with_clauses('transitions')} SELECT src, dst, relation, row_number() OVER (PARTITION BY src ORDER BY length(dst), dst, relation) - 1 AS lane FROM edges",
+    "jn26_topic_flows": f"{_services_only()} SELECT a.dst AS topic, b.dst AS consumer, count(*) AS n FROM edges AS a JOIN edges AS b ON a.dst = b.src WHERE a.relation = 'PUBLISHES' AND b.relation = 'CONSUMED_BY' GROUP BY a.dst, b.dst",
+    "jn01_page_imports": f"{_PAGE_LINKS} SELECT page_id, href, module FROM resolved WHERE module IS NOT NULL",
+    "jn12_unresolved": f"{_PAGE_LINKS} SELECT page_id, count(*) AS n FROM resolved WHERE module IS NULL GROUP BY page_id",
+    "flt03_noise": f"""{_services_only()} SELECT id, false AS noise, CASE WHEN file IS NULL THEN 'symbol' ELSE 'module' END AS guess FROM nodes""",
+    "prj03_urls": f"{_services_only()} SELECT id, 'vscode://file//work/tree/' || file || coalesce(':' || CAST(line AS VARCHAR), '') AS url, '#' || lpad(lower(to_hex(line)), 6, '0') AS colour FROM nodes",
+    "prj04_hops": f"{_SERVICES} SELECT id, CASE WHEN hop = 0 THEN '0 (target)' WHEN hop > 0 THEN '+' || CAST(hop AS VARCHAR) ELSE CAST(hop AS VARCHAR) END AS hop FROM hop",
 }

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import labels as L
-from tessella.operators import filters, neighbours, ranking, sequence, surfaces, traces, traversal, upsert
+from tessella.operators import filters, neighbours, paths, ranking, sequence, surfaces, traces, traversal, upsert
 from tessella.plans.graph import Graph
 from tessella.plans.projections import load
 
@@ -57,8 +57,6 @@ def gr01_paths(spark, sf_dir):
 def gr02_ranked_paths(spark, sf_dir):
     graph = _transitions(spark, sf_dir)
     ranked = ranking.score_paths(graph, traversal.lineage_paths(graph, EVENT))
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("direction").orderBy(*ranking.rank_order())).cast("long")
     return ranked.select("direction", _text("path").alias("path"), "score", place.alias("place"))
 
@@ -260,4 +258,85 @@ def sc09_escaped(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(L.escape_html(F.col("text"))).alias("digest"), L.safe_filename(F.substring("text", 1, 60)).alias("file"))
 
 
+def _ranked(spark, sf_dir):
+    """The transitions' lineage: graph, ranked paths."""
+    graph = _transitions(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("direction").orderBy(*ranking.rank_order()))
+    return graph, ranking.score_paths(graph, traversal.lineage_paths(graph, EVENT)).withColumn("place", place)
+
+
+def gr12_columns(spark, sf_dir):
+    graph, found = _ranked(spark, sf_dir)
+    return paths.layout_columns(traversal.lineage_nodes(graph, EVENT), found).select("id", F.col("column").cast("long").alias("place"))
+
+
+def gr13_best_through(spark, sf_dir):
+    return paths.best_through(_ranked(spark, sf_dir)[1]).select("id", _text("path").alias("path"))
+
+
+def gr14_highlighted(spark, sf_dir):
+    return paths.highlighted(_ranked(spark, sf_dir)[1], "purchase")[1]
+
+
+def gr15_default_path(spark, sf_dir):
+    return paths.default_path(_ranked(spark, sf_dir)[1]).select(_text("path").alias("path"))
+
+
+def gr16_edges_between(spark, sf_dir):
+    graph, found = _ranked(spark, sf_dir)
+    return paths.edges_between(paths.highlighted(found, "purchase")[1], graph.edges)
+
+
+def gr17_trace_steps(spark, sf_dir):
+    graph, found = _ranked(spark, sf_dir)
+    return graph.nodes.crossJoin(F.broadcast(paths.default_path(found))).select("id", paths.trace_step(F.col("path"), F.col("id")).cast("long").alias("step"))
+
+
+def gr18_message_rows(spark, sf_dir):
+    got = sequence.sequence(_services(spark, sf_dir).stored(), CUSTOMER, depth=2)
+    return paths.message_rows(got).groupBy().agg(F.count("*").alias("n"), F.max("row").alias("last"), F.countDistinct("row").alias("n_rows"))
+
+
+def win06_lanes(spark, sf_dir):
+    graph = _transitions(spark, sf_dir)
+    rows = graph.nodes.select("id", F.length("id").alias("row"))
+    return paths.lanes(graph.edges, rows).select("src", "dst", "relation", F.col("lane").cast("long").alias("lane"))
+
+
+def jn26_topic_flows(spark, sf_dir):
+    return paths.topic_flows(_services(spark, sf_dir).edges).groupBy("topic", "consumer").agg(F.count("*").alias("n"))
+
+
+def jn01_page_imports(spark, sf_dir):
+    """Links of pages as import paths: the page at that path, else the first page below it."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]*(/[^?#]*)?", 1)
+    modules = pages.select(path.alias("module")).where("module <> ''").distinct()
+    links = pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)"'), 1))).alias("href"))
+    exact = links.join(modules, links["href"] == modules["module"]).select("page_id", "href", "module", F.lit(0).alias("pos"))
+    first = modules.select(F.concat(F.lit("/"), F.split("module", "/")[1]).alias("href"), "module").where("module LIKE concat(href, '/%')").groupBy("href").agg(F.min("module").alias("module"))
+    below = links.join(first, "href").select("page_id", "href", "module", F.lit(1).alias("pos"))
+    return exact.unionByName(below).groupBy("page_id", "href").agg(F.min_by("module", "pos").alias("module"))
+
+
+def jn12_unresolved(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    links = pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)"'), 1))).alias("href"))
+    return links.join(jn01_page_imports(spark, sf_dir).select("page_id", "href"), ["page_id", "href"], "left_anti").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+def flt03_noise(spark, sf_dir):
+    n = _services(spark, sf_dir).nodes
+    return n.select("id", L.is_noise(F.col("label"), F.col("kind"), F.col("file"), enabled=True).alias("noise"), L.node_kind(F.lit(None).cast("string"), F.lit(False), F.col("file")).alias("guess"))
+
+
+def prj03_urls(spark, sf_dir):
+    n = _services(spark, sf_dir).nodes
+    return n.select("id", L.editor_url(F.col("file"), F.col("line"), "/work/tree/").alias("url"), L.css_colour(F.col("line")).alias("colour"))
+
+
+def prj04_hops(spark, sf_dir):
+    return _lineage(spark, sf_dir)[1].select("id", L.hop_label(F.col("hop")).alias("hop"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[:2] in ("gr", "ag", "wi", "jn", "fl", "sr", "sc", "pr") and callable(f) and name[-1] != "_" and getattr(f, "__module__", "") == __name__}
