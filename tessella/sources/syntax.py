@@ -734,7 +734,7 @@ class Parser:
 
     def assignment(self, no_in: bool = False) -> Node:
         start = self.tok.start
-        if self.is_word("async") and not self.ahead().line_before and (self.ahead().text == "(" or self.ahead().type == "id" and self.ahead(2).text == "=>"):
+        if self.is_word("async") and not self.ahead().line_before and (self.ahead().text in ("(", "<") or self.ahead().type == "id" and self.ahead(2).text == "=>"):
             if (arrow := self.attempt(lambda: self.arrow(start, True))) is not None:
                 return arrow
         if self.is_op("(", "<") or self.tok.type == "id" and self.ahead().text == "=>":
