@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.textbits import K4, Rolling, binaries, chunks, mix, ragged, sliding_min, word_hashes
+from tessella.llm.textbits import K4, Rolling, binaries, mix, modest_batches, ragged, sliding_min, slices, word_hashes
 
 NO_ID = -(2**63)
 #: Words of a minimiser.
 MINIMISER = 4
 #: Bytes of text that a task works on at once, and of packed strings that a bucket should get.
-CHUNK, BUCKET = 6_000_000, 6_000_000
+CHUNK, BUCKET = 4_500_000, 4_500_000
 
 
 def _table(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -154,9 +154,9 @@ def repeated_windows(docs: DataFrame, k: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), binaries(batch.column(2))
-            for a, b in chunks(texts, CHUNK):
-                rows = list(_super_kmers(ids[a:b], tags[a:b], texts[a:b], k, buckets))
+            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b in slices(batch.column(2), CHUNK):
+                rows = list(_super_kmers(ids[a:b], tags[a:b], binaries(batch.column(2).slice(a, b - a)), k, buckets))
                 if rows:
                     bucket, kind, packed = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int8()), pa.array(packed, pa.binary())], ["bucket", "kind", "packed"])
@@ -190,6 +190,7 @@ def remove_repeated(docs: DataFrame, *, window: int = 35, keep: tuple[str, ...]
     A word goes if a window of that many consecutive words of its document covers it and the same words also start
     anywhere else; windows are judged on the input. Kept words are joined by one space.
     """
+    modest_batches(docs.sparkSession)
     keyed = docs.select(F.struct(*keep).alias("doc"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.hash("text").alias("tag"), "text")
     found = repeated_windows(keyed, window)
     joined = keyed.join(found.withColumnsRenamed({"id": "found_id", "tag": "found_tag"}), (F.col("id") == F.col("found_id")) & (F.col("tag") == F.col("found_tag")), "left").select("doc", "text", "ranges")
