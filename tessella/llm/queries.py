@@ -56,7 +56,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = identify(read(spark, sf_dir, "documents"))
-    return out.select("doc.doc_id", "language", F.round("probability", 6).alias("probability"), "accepted")
+    return out.select("doc.doc_id", "language", F.round("probability", 6).alias("probability"), F.col("accepted").alias("kept"))
 
 
 def license_digest(scanned: DataFrame) -> DataFrame:
