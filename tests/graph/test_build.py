@@ -159,3 +159,13 @@ def test_parts(parts):
     assert (prop("Third"), "INJECTED_WITH", cloud) not in edges and (keep("Other"), "RESOLVES_TO", save("CloudStore")) not in edges
     assert edges[keep("Third"), "POSSIBLE_RESOLUTION", save("CloudStore")].certainty == "POSSIBLE"
     assert "topic:spam" not in nodes and not any(k[0] == "method:src/access.ts#Access.none" for k in edges)
+
+
+def test_table_names_fold_in_order_and_default_imports(spark):
+    sources = {f"src/t{i}.ts": f"import {{ pgTable }} from 'drizzle-orm/pg-core'; export const {n} = pgTable('{t}', {{}});" for i, (n, t) in enumerate([("a", "one"), ("a", "two"), ("b", "one"), ("b", "two"), ("b", "three"), ("c", "x"), ("c", "x")])}
+    sources["src/use.ts"] = "export class Use { go(db) { db.read(a); db.read(b); db.read(c); } }"
+    sources["src/d.ts"] = "export default class Thing { run() {} }\nexport class Local { run() {} }"
+    sources["src/e.ts"] = "import Local from './d'; const l = new Local(); export function f() { l.run(); }"
+    nodes, edges, _ = graph(spark, sources)
+    assert {k[2] for k in edges if k[1] == "READS"} == {"table:three", "table:x"}
+    assert ("function:src/e.ts#f", "CALLS", "method:src/d.ts#Local.run") in edges
