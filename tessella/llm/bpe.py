@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.textbits import ragged, slices, spread
+from tessella.llm.textbits import ragged, slices, spread, tidy
 
 #: The pre-tokenizer's pattern: fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -157,6 +157,7 @@ def encode_texts(docs: DataFrame, definition: str, *, keep: tuple[str, ...] = ("
     sent = docs.sparkSession.sparkContext.broadcast(definition)
     df = docs.select(F.struct(*keep).alias("doc"), F.col(text).alias("text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(sent.value)
         for batch in batches:
@@ -177,6 +178,7 @@ def decode_ids(encoded: DataFrame, definition: str) -> DataFrame:
     """Add decoded, the text of stored ids."""
     sent = encoded.sparkSession.sparkContext.broadcast(definition)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(sent.value)
         for batch in batches:

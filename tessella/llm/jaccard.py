@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.textbits import K1, K4, Rolling, mix, slices, word_hashes
+from tessella.llm.textbits import K1, K4, Rolling, mix, slices, tidy, word_hashes
 from tessella.session import materialize
 
 NO_ID = -(2**63)
@@ -83,6 +83,7 @@ def forest_keys(hashes: np.ndarray, counts: np.ndarray, prefix: int) -> np.ndarr
 def signatures(docs: DataFrame, n: int, prefix: int) -> DataFrame:
     """id, tag, n_shingles, one, two (a 128-bit hash of the set) and keys of every row, stored."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(2), CHUNK):
@@ -175,6 +176,7 @@ def verified(docs: DataFrame, placed: DataFrame, n: int, threshold: float) -> Da
     # Always by a shuffle: this side grows with the documents, and a plan that changes with its size cannot be foreseen.
     rows = docs.join(small.hint("merge"), (F.col("id") == F.col("node.id")) & (F.col("tag") == F.col("node.tag"))).select("node", "component", "weight", "block", "blocks", "text")
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1), CHUNK):
@@ -189,6 +191,7 @@ def verified(docs: DataFrame, placed: DataFrame, n: int, threshold: float) -> Da
     pair = F.explode(F.transform(others, lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
     dealt = sets.withColumn("pair", pair).select(F.xxhash64("component", "pair").alias("task"), F.struct("component", "pair").alias("key"), "node", "weight", "block", (F.col("pair.i") != F.col("pair.j")).alias("crossed"), "shingles")
 
+    @tidy
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: dict) -> pa.RecordBatch:
             nodes = list(rows)

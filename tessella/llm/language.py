@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.textbits import binaries, chunks, modest_batches
+from tessella.llm.textbits import binaries, chunks, modest_batches, tidy
 from tessella.session import materialize
 
 BUCKETS = 1 << 15
@@ -51,6 +51,7 @@ def fit(docs: DataFrame, languages: tuple[str, ...], *, text: str, label: str, r
     picked = own.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(rows)
     sample = own.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), "h").groupBy("h").agg(F.min(F.struct("label", "text")).alias("r")).select("r.label", "r.text")
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
@@ -91,6 +92,7 @@ def host_priors(df: DataFrame, model: np.ndarray, full: float, strength: float)
     sent = df.sparkSession.sparkContext.broadcast(model)
     classes = model.shape[1]
 
+    @tidy
     def soft(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = binaries(batch.column(2))
@@ -139,6 +141,7 @@ def identify(docs: DataFrame, *, languages: tuple[str, ...] = ("de", "en", "es",
     joined = df.join(F.broadcast(priors) if small else priors, "host", "left").select("doc", "text", "prior", "declared")
     names, sent = [*languages, "und"], docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = binaries(batch.column(1))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.textbits import K1, binaries, chunks, letter_words, mix, word_hashes
+from tessella.llm.textbits import K1, binaries, chunks, letter_words, mix, tidy, word_hashes
 
 NO_ID = -(2**63)
 CHUNK = 8_000_000
@@ -62,6 +62,7 @@ def diagonal_votes(docs: DataFrame, share: float) -> DataFrame:
         rows += [(g, number, p) for p, g in enumerate(grams)]
         need.append((number, len(grams) if base else int(np.ceil(share * len(grams)))))
 
+    @tidy
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = binaries(batch.column(2))
@@ -122,6 +123,7 @@ def scan_licenses(docs: DataFrame, *, share: float = 0.6, gap: int = 3) -> DataF
     span = pa.struct([("label", pa.string()), ("base", pa.bool_()), ("first", pa.int64()), ("n", pa.int64()), ("share", pa.float64())])
     templates = _templates()
 
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, may = binaries(batch.column(1)), batch.column(2)

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.textbits import tidy
 from tessella.session import materialize
 
 #: Elements whose content is no text, whether closed or not, and those only if closed.
@@ -179,12 +180,14 @@ def shared_with_neighbours(lines: list[int], sizes: list[int], others: list[list
 def _furniture(pages: DataFrame) -> DataFrame:
     """id, tag, deleted: the shared lines of pages without a marked article. pages: id, tag, url, html."""
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [[t for t, _ in blocks(h or "")] for h in batch.column(4).to_pylist()]
             hashes = [[zlib.crc32(t.encode()) | zlib.adler32(t.encode()) << 31 for t in ts] for ts in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hashes, pa.list_(pa.int64())), pa.array([[len(t) for t in ts] for ts in texts], pa.list_(pa.int32()))], ["id", "tag", "host", "path", "lines", "sizes"])
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -208,6 +211,7 @@ def _furniture(pages: DataFrame) -> DataFrame:
     beside = lambda name: known.select(F.col("place").alias(name), F.struct("host", "path", "lines").alias(f"page_{name}"))
     met = rows.withColumn("before", before).withColumn("after", after).join(beside("before"), "before", "left").join(beside("after"), "after", "left")
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = []
@@ -228,6 +232,7 @@ def extract(pages: DataFrame) -> DataFrame:
     deleted = _furniture(plain.select("id", "tag", "url", "html")).withColumnsRenamed({"id": "found_id", "tag": "found_tag"})
     loose = plain.join(deleted, (F.col("id") == F.col("found_id")) & (F.col("tag") == F.col("found_tag")), "left").select("page_id", "url", "html", "marked", "deleted")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

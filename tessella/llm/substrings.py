@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.textbits import K4, Rolling, binaries, mix, modest_batches, ragged, sliding_min, slices, word_hashes
+from tessella.llm.textbits import K4, Rolling, binaries, mix, modest_batches, ragged, slices, sliding_min, tidy, word_hashes
 
 NO_ID = -(2**63)
 #: Words of a minimiser.
@@ -152,6 +152,7 @@ def repeated_windows(docs: DataFrame, k: int) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, math.ceil(3 * total / BUCKET))
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -161,6 +162,7 @@ def repeated_windows(docs: DataFrame, k: int) -> DataFrame:
                     bucket, kind, packed = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int8()), pa.array(packed, pa.binary())], ["bucket", "kind", "packed"])
 
+    @tidy
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(ids: np.ndarray, tags: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int32()), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["id", "tag", "first", "n"])
@@ -195,6 +197,7 @@ def remove_repeated(docs: DataFrame, *, window: int = 35, keep: tuple[str, ...]
     found = repeated_windows(keyed, window)
     joined = keyed.join(found.withColumnsRenamed({"id": "found_id", "tag": "found_tag"}), (F.col("id") == F.col("found_id")) & (F.col("tag") == F.col("found_tag")), "left").select("doc", "text", "ranges")
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import time
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count
@@ -11,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
+_LIBC = ctypes.CDLL(None)
 K1, K2, K3, K4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 _ROLL = 0x5851F42D4C957F2D
@@ -51,6 +54,28 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Give freed memory back to the system; workers are kept between stages, and so is what they hold."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, releasing memory every second and at the task's end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        then = time.monotonic()
+        for batch in run(batches):
+            yield batch
+            if time.monotonic() - then > 1:
+                release()
+                then = time.monotonic()
+        release()
+
+    return tidied
+
+
 def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts have about `most` bytes together; a longer text stands alone."""
     sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).tolist()

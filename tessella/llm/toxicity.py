@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.decontamination import words_of
-from tessella.llm.textbits import letter_words, modest_batches, slices, word_hashes
+from tessella.llm.textbits import letter_words, modest_batches, slices, tidy, word_hashes
 
 CHUNK = 1_000_000
 #: Words of a model and labelled texts that calibrate it, at most.
@@ -180,6 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, *, drift: float = 0.5, least_z: fl
     sample = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(seen), "h").groupBy("h").agg(F.max(F.struct("toxic", "text")).alias("r")).select("r.text", "r.toxic")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(0), CHUNK):
@@ -199,6 +200,7 @@ def score(docs: DataFrame, model: Toxicity, *, significant: float = 0.05) -> Dat
     sent = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("first", pa.int32()), ("n", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(2), CHUNK):

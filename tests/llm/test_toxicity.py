@@ -50,7 +50,7 @@ def test_held_out_accuracy_and_passages(spark):
     docs, labels = tables(spark, [(1000, None, None, None), (1001, "", None, None), (None, "so vile and awful nasty vile", None, None), (1002, "w1 " * 5000 + "vile awful nasty vile " + "w2 " * 5000, None, None)])
     got = {r.doc_id: r for r in score(docs, train(docs, labels)).collect()}
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
-    assert all(got[i].held_out for i in held) and not got[1].held_out == (zlib.crc32(b"1") % 5 != 0)
+    assert {i for i in range(400) if got[i].held_out} == set(held)
     assert np.mean([(got[i].score >= 0.5) == (i % 6 == 0) for i in held]) > 0.97
     assert got[1000].score < 0.5 and got[1001].score < 0.5 and got[None].score > 0.5 and got[None].held_out
     assert [(p["first"], p["n"]) for p in got[1002].passages] == [(5000, 4)]
