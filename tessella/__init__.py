@@ -1 +1 @@
-"""Part of the tessella analytics engine."""
+"""Code graphs and training-data operators on Spark."""

@@ -1 +1 @@
-"""Part of the tessella analytics engine."""
+"""Scalar functions as column expressions."""

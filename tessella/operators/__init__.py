@@ -1 +1 @@
-"""Part of the tessella analytics engine."""
+"""Operators over the property graph."""

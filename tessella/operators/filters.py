@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.neighbours import degrees
-from tessella.operators.traversal import reachable
+from tessella.operators.traversal import reachable, rounds
 from tessella.plans.graph import Graph
 
 #: Relations of each concern: fixed values.
@@ -18,9 +18,7 @@ SURFACES = ("http_endpoint", "database_table", "event_topic")
 
 def _closure(graph: Graph, starts: DataFrame, direction: str) -> DataFrame:
     """id: all nodes that can be reached from any of the starts, these included."""
-    from tessella.operators.traversal import _rounds
-
-    return _rounds(starts.select(F.col("id").alias("cur")).distinct(), graph.adjacency(direction), [], None).select(F.col("cur").alias("id"))
+    return rounds(starts.select(F.col("id").alias("cur")).distinct(), graph.adjacency(direction), [], None).select(F.col("cur").alias("id"))
 
 
 def concern_nodes(lineage: Graph, target: str, concern: str) -> DataFrame:

@@ -15,7 +15,7 @@ from tessella.plans.graph import EDGE_KEY, UNLIMITED, Graph
 from tessella.session import materialize
 
 
-def _rounds(seeds: DataFrame, steps: DataFrame, by: list[str], most: int | None, allowed=None) -> DataFrame:
+def rounds(seeds: DataFrame, steps: DataFrame, by: list[str], most: int | None, allowed=None) -> DataFrame:
     """by, cur, depth: the least number of steps from each seed row to every node, at most `most` of them."""
     seen = [materialize(seeds.withColumn("depth", F.lit(0)), "round")]
     while most is None or len(seen) <= most:
@@ -33,7 +33,7 @@ def _rounds(seeds: DataFrame, steps: DataFrame, by: list[str], most: int | None,
 def reachable(graph: Graph, start: str, direction: str = "downstream", depth: int = UNLIMITED) -> DataFrame:
     """id, depth: the nodes that can be reached from start, start included."""
     seed = graph.target(start).select(F.col("id").alias("cur"))
-    return _rounds(seed, graph.adjacency(direction), [], depth or None).select(F.col("cur").alias("id"), "depth")
+    return rounds(seed, graph.adjacency(direction), [], depth or None).select(F.col("cur").alias("id"), "depth")
 
 
 def hops(graph: Graph, target: str, depth: int = UNLIMITED) -> DataFrame:
@@ -66,7 +66,7 @@ def lineage_edges(graph: Graph, target: str, depth: int = UNLIMITED) -> DataFram
         taken.append(both.where(~F.col("back")).select(*EDGE_KEY))
         avoided = both.where("back").select(F.col("next").alias("avoided")).distinct()
         seeds = avoided.withColumn("cur", F.lit(target))
-        free = _rounds(seeds, steps.select("cur", "next"), ["avoided"], depth or None, F.col("cur") != F.col("avoided"))
+        free = rounds(seeds, steps.select("cur", "next"), ["avoided"], depth or None, F.col("cur") != F.col("avoided"))
         kept = both.where("back").join(free.select(F.col("avoided").alias("next"), "cur"), ["next", "cur"], "left_semi")
         taken.append(kept.select(*EDGE_KEY))
     return reduce(DataFrame.unionByName, taken).distinct()

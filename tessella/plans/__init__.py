@@ -1 +1 @@
-"""Part of the tessella analytics engine."""
+"""The graph model, projections, resolution, rules and registered queries."""

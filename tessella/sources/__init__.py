@@ -1 +1 @@
-"""Part of the tessella analytics engine."""
+"""Source trees, their parser and facts, and graph documents."""

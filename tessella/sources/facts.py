@@ -13,7 +13,10 @@ from dataclasses import dataclass, replace
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from tessella.operators.upsert import fact_summary
 from tessella.sources.syntax import Node, Places, SyntaxProblem, parse, unquoted
 
 SYMBOL = "struct<id:string,kind:string,name:string,container:string>"
@@ -178,10 +181,7 @@ class Extractor:
 
 def parse_files(files: DataFrame) -> DataFrame:
     """One row a file: its facts and expressions, or the problem that skips it. files: file, content."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = to_arrow_schema(_parse_datatype_string(PARSED))
+    schema = to_arrow_schema(StructType.fromDDL(PARSED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,6 +203,4 @@ def facts(parsed: DataFrame) -> DataFrame:
 
 def summary(parsed: DataFrame) -> DataFrame:
     """kind, file, n: facts by kind, by file and in all."""
-    from tessella.operators.upsert import fact_summary
-
     return fact_summary(facts(parsed))

@@ -1 +1 @@
-"""Part of the tessella analytics engine."""
+"""Nothing streams here: inputs are static trees and documents. Kept for incremental ingestion."""
