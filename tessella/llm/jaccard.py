@@ -29,7 +29,7 @@ CHUNK = 3_000_000
 #: Trees of the forest and minimum hashes of a label.
 TREES, DEPTH = 24, 6
 #: Shingles of a block of a component.
-BLOCK = 1_500_000
+BLOCK = 400_000
 
 
 def prefix_length(threshold: float, target: float) -> int:
