@@ -1,10 +1,12 @@
 """Main text of web pages, by structure and nearest-URL page differencing.
 
 A page is cut into text blocks. Menus, headers, footers, sidebars, notices, adverts, forms and comments that say so by
-element, class, id or role are left out. Where the page marks its article (article or main), that is the text. Pages
-that mark none are compared with their nearest neighbours: pages sorted by host and URL path stand beside those of the
-most similar path, the text lines of both are aligned by longest common subsequence, and shared lines are deleted as
-the site's furniture. A neighbour with more than half of the page's characters is a copy of it and deletes nothing.
+element, class, id or role are left out. Where the page marks its article (article or main), its lines are the text's.
+Every page is compared with its nearest neighbour that is no copy of it: pages sorted by host and URL path stand beside
+those of the most similar path, the text lines of both are aligned by longest common subsequence, and shared lines are
+deleted as the site's furniture. Pages of equal lines are passed over; up to REACH distinct pages on either side are
+looked at. A neighbour is a copy by the text outside the lines that all of these share. The article mark protects
+shared content: a shared line of an article goes only if most pages that differ from it have it.
 
 Defined cases: null and empty pages have the empty text; a null URL is a host and path of their own (both empty);
 broken markup is read as far as it goes; repeated rows, even of one page_id, are pages each; a page whose only
@@ -17,11 +19,12 @@ import html as entities
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.textbits import tidy
@@ -120,6 +123,8 @@ def blocks(page: str) -> list[tuple[str, bool]]:
 
 #: Cells of a table of common lengths; longer pages are split instead (Hirschberg's method).
 CELLS = 1_000_000
+#: Distinct pages on either side of a page that it may be compared with.
+REACH = 4
 
 
 def _lengths(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
@@ -168,83 +173,161 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return [*range(first), *[first + i for i in middle], *range(len(a) - last, len(a))]
 
 
-def shared_with_neighbours(lines: list[int], sizes: list[int], others: list[list[int]]) -> list[int]:
-    """Places of the lines shared with the nearest neighbour that is no copy; none if all are copies."""
-    for other in others:
-        shared = common_lines(lines, other)
-        if 2 * sum(sizes[i] for i in shared) <= sum(sizes):
-            return shared
+def _furniture_of(lines: list[int], sizes: list[int], others: list[list[int]], marked: bool) -> list[int]:
+    """Places of the page's furniture lines. others: distinct pages of the host, the nearest first."""
+    sets = [set(o) for o in others]
+    shared = [sum(n for x, n in zip(lines, sizes, strict=True) if x in s) for s in sets]
+    met = [i for i, n in enumerate(shared) if n]
+    far = [i for i in met if 2 * shared[i] <= sum(sizes)]
+    if marked:
+        # Near copies prove nothing here: a line of an article goes if most pages that differ from it have it too.
+        differ = [s for s, n in zip(sets, shared, strict=True) if 2 * n <= sum(sizes)]
+        usual = {x for x in lines if sum(x in s for s in differ) >= max(2, len(differ) // 2 + 1)}
+        return [i for i in common_lines(lines, others[far[0]]) if lines[i] in usual] if usual else []
+    if not met:
+        return []
+    size_of = lambda keep: sum(n for x, n in zip(lines, sizes, strict=True) if keep(x))
+    everywhere = set(lines).intersection(*[sets[i] for i in met]) if len(met) > 1 else set()
+    content = size_of(lambda x: x not in everywhere)
+    own = size_of(lambda x: not any(x in sets[i] for i in met))
+    if 2 * own <= content:
+        # No page of its own beside a template: only pages that share less than half tell furniture.
+        everywhere = set(lines).intersection(*[sets[i] for i in far]) if far else set()
+        content = size_of(lambda x: x not in everywhere)
+    for i in met:
+        if 2 * size_of(lambda x, s=sets[i]: x in s and x not in everywhere) <= content:
+            return common_lines(lines, others[i])
     return []
 
 
+def _near(path: str, pages: list[tuple[str, list[int]]]) -> list[list[int]]:
+    """Lines of the pages, those of the longest common start of the path first."""
+    alike = lambda p: next((i for i, (x, y) in enumerate(zip(path, p[0], strict=False)) if x != y), min(len(path), len(p[0])))
+    return [lines for _, lines in sorted(pages, key=lambda p: -alike(p))]
+
+
+def _beside(rows: list[tuple], seed: list[tuple]) -> Iterator[list[tuple[str, list[int]]]]:
+    """Before each row (host, path, lines) is met: the last distinct pages of its host, REACH + 1 at most, latest first."""
+    seen: dict[tuple, str] = {}
+    now = None
+    for n, (host, path, lines) in enumerate([*seed, *rows]):
+        if host != now:
+            now, seen = host, {}
+        if n >= len(seed):
+            yield [(p, list(x)) for x, p in reversed(seen.items())]
+        key = tuple(lines)
+        seen.pop(key, None)
+        seen[key] = path
+        if len(seen) > REACH + 1:
+            del seen[next(iter(seen))]
+
+
+def _edge(rows: list[tuple]) -> set[int]:
+    """Numbers of the rows that are the last distinct pages of the last row's host, REACH + 1 at most."""
+    out: dict[tuple, int] = {}
+    for n in range(len(rows) - 1, -1, -1):
+        if rows[n][0] != rows[-1][0] or len(out) > REACH:
+            break
+        out.setdefault(tuple(rows[n][2]), n)
+    return set(out.values())
+
+
+def _text_lines(page: str | None) -> tuple[list[str], bool]:
+    """The lines of the page's text and whether it marks an article; if so, they are the article's."""
+    found = blocks(page or "")
+    inside = [t for t, held in found if held]
+    return (inside, True) if inside else ([t for t, _ in found], False)
+
+
 def _furniture(pages: DataFrame) -> DataFrame:
-    """id, tag, deleted: the shared lines of pages without a marked article. pages: id, tag, url, html."""
+    """id, tag, deleted: the shared lines of pages. pages: id, tag, url, html."""
 
     @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [[t for t, _ in blocks(h or "")] for h in batch.column(4).to_pylist()]
+            texts, marked = zip(*map(_text_lines, batch.column(4).to_pylist()), strict=True) if batch.num_rows else ([], [])
             hashes = [[zlib.crc32(t.encode()) | zlib.adler32(t.encode()) << 31 for t in ts] for ts in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hashes, pa.list_(pa.int64())), pa.array([[len(t) for t in ts] for ts in texts], pa.list_(pa.int32()))], ["id", "tag", "host", "path", "lines", "sizes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hashes, pa.list_(pa.int64())), pa.array([[len(t) for t in ts] for ts in texts], pa.list_(pa.int32())), pa.array(marked, pa.bool_())], ["id", "tag", "host", "path", "lines", "sizes", "marked"])
 
     @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        part, held = TaskContext.get().partitionId(), list(batches)
+        rows = [r for batch in held for r in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+        last, first = _edge(rows), {len(rows) - 1 - n for n in _edge(rows[::-1])}
+        at = 0
+        for batch in held:
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), *batch.columns], ["part", "at", *batch.schema.names])
+            mine = range(at, at + n)
+            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(mine, pa.int64()), pa.array([i in first for i in mine]), pa.array([i in last for i in mine]), *batch.columns], ["part", "at", "first", "last", *batch.schema.names])
             at += n
 
     url = F.coalesce("url", F.lit(""))
     keyed = pages.select("id", "tag", F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]*)", 1)).alias("host"), F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1).alias("path"), "html")
-    lined = keyed.mapInArrow(cut, "id bigint, tag bigint, host string, path string, lines array<bigint>, sizes array<int>")
-    schema = "part int, at bigint, id bigint, tag bigint, host string, path string, lines array<bigint>, sizes array<int>"
+    columns = "id bigint, tag bigint, host string, path string, lines array<bigint>, sizes array<int>, marked boolean"
+    lined = materialize(keyed.mapInArrow(cut, columns), "page-lines")
+    schema = f"part int, at bigint, first boolean, last boolean, {columns}"
     placed = materialize(lined.repartitionByRange("host", "path", "id", "tag").sortWithinPartitions("host", "path", "id", "tag").mapInArrow(place, schema), "placed-pages")
-    # The first row of a partition follows the last of the one before it; one row a partition says which these are.
-    parts = placed.groupBy("part").agg(F.max("at").alias("last"))
-    order = Window.orderBy("part")
-    around = F.broadcast(parts.select("part", "last", F.lag("part").over(order).alias("part_before"), F.lag("last").over(order).alias("last_before"), F.lead("part").over(order).alias("part_after")))
-    rows = placed.join(around, "part")
-    before = F.when(F.col("at") > 0, F.struct("part", (F.col("at") - 1).alias("at"))).otherwise(F.struct(F.col("part_before").alias("part"), F.col("last_before").alias("at")))
-    after = F.when(F.col("at") < F.col("last"), F.struct("part", (F.col("at") + 1).alias("at"))).otherwise(F.struct(F.col("part_after").alias("part"), F.lit(0).cast("bigint").alias("at")))
-    known = placed.select(F.struct("part", "at").alias("place"), "host", "path", "lines")
-    beside = lambda name: known.select(F.col("place").alias(name), F.struct("host", "path", "lines").alias(f"page_{name}"))
-    met = rows.withColumn("before", before).withColumn("after", after).join(beside("before"), "before", "left").join(beside("after"), "after", "left")
+    # Pages at the ends of a partition, a bounded number each, are what its neighbours are compared with.
+    ends: dict[str, dict[int, list[tuple]]] = {"first": {}, "last": {}}
+    for r in placed.where("first or last").select("part", "at", "first", "last", "host", "path", "lines").orderBy("part", "at").collect():
+        for name in ends:
+            if r[name]:
+                ends[name].setdefault(r["part"], []).append((r["host"], r["path"], r["lines"]))
+    parts = sorted(ends["first"])
+    around, before = {}, []
+    for p in parts:
+        around[p] = [before]
+        before = [x for x in [*before, *ends["last"][p]] if x[0] == ends["last"][p][-1][0]]
+        before = [before[n] for n in sorted(_edge(before))]
+    after: list[tuple] = []
+    for p in reversed(parts):
+        around[p].append(after)
+        after = [x for x in [*after, *reversed(ends["first"][p])] if x[0] == ends["first"][p][0][0]]
+        after = [after[n] for n in sorted(_edge(after))]
+    sent = pages.sparkSession.sparkContext.broadcast(around)
 
     @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        def done(part: int, rows: list[tuple]) -> pa.RecordBatch:
+            before, after = sent.value[part]
+            pages = [r[2:5] for r in rows]
+            later = list(_beside(pages[::-1], after))[::-1]
             gone = []
-            for _, _, host, path, lines, sizes, *others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                near = [o for o in others if o and o["host"] == host]
-                near.sort(key=lambda o: -next((i for i, (x, y) in enumerate(zip(path, o["path"], strict=False)) if x != y), min(len(path), len(o["path"]))))
-                gone.append(shared_with_neighbours(lines, sizes, [o["lines"] for o in near]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(gone, pa.list_(pa.int32()))], ["id", "tag", "deleted"])
+            for (_, _, _, path, lines, sizes, marked), earlier, next_ones in zip(rows, _beside(pages, before), later, strict=True):
+                near = [p for pair in zip_longest(earlier, next_ones) for p in pair if p and p[1] != lines]
+                distinct = list({tuple(p[1]): p for p in reversed(near)}.values())[::-1]
+                gone.append(_furniture_of(lines, sizes, _near(path, distinct), marked))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["id", "tag", "deleted"])
 
-    out = met.select("id", "tag", "host", "path", "lines", "sizes", "page_before", "page_after").mapInArrow(compare, "id bigint, tag bigint, deleted array<int>")
+        now, rows = None, []
+        for batch in batches:
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now and rows:
+                    yield done(now, rows)
+                    rows = []
+                now = part
+                rows.append(tuple(row))
+        if rows:
+            yield done(now, rows)
+
+    met = placed.repartition("part").sortWithinPartitions("part", "at").select("part", "id", "tag", "host", "path", "lines", "sizes", "marked")
+    out = met.mapInArrow(compare, "id bigint, tag bigint, deleted array<int>")
     return out.where(F.size("deleted") > 0).dropDuplicates(["id", "tag"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Rows page_id, url, text: the main text of every page, its blocks joined by newlines."""
-    own = pages.select("page_id", "url", "html", F.coalesce(F.col("page_id").cast("bigint"), F.lit(-(2**63))).alias("id"), F.xxhash64("html", "url").alias("tag"), F.coalesce(F.col("html").rlike(r"(?i)<(article|main)[\s>]"), F.lit(False)).alias("marked"))
-    plain = own.where(~F.col("marked"))
-    deleted = _furniture(plain.select("id", "tag", "url", "html")).withColumnsRenamed({"id": "found_id", "tag": "found_tag"})
-    loose = plain.join(deleted, (F.col("id") == F.col("found_id")) & (F.col("tag") == F.col("found_tag")), "left").select("page_id", "url", "html", "marked", "deleted")
+    own = pages.select("page_id", "url", "html", F.coalesce(F.col("page_id").cast("bigint"), F.lit(-(2**63))).alias("id"), F.xxhash64("html", "url").alias("tag"))
+    deleted = _furniture(own.select("id", "tag", "url", "html")).withColumnsRenamed({"id": "found_id", "tag": "found_tag"})
+    joined = own.join(deleted, (F.col("id") == F.col("found_id")) & (F.col("tag") == F.col("found_tag")), "left")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for page, marked, gone in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                found = blocks(page or "")
-                if marked and any(inside for _, inside in found):
-                    out.append("\n".join(t for t, inside in found if inside))
-                else:
-                    drop = set(gone or ())
-                    out.append("\n".join(t for i, (t, _) in enumerate(found) if i not in drop))
+            for page, gone in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
+                drop = set(gone or ())
+                out.append("\n".join(t for i, t in enumerate(_text_lines(page)[0]) if i not in drop))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    none = F.lit(None).cast("array<int>").alias("deleted")
-    both = own.where("marked").select("page_id", "url", "html", "marked", none).unionByName(loose)
-    return both.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "marked", "deleted").mapInArrow(run, "page_id bigint, url string, text string")
+    return joined.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "deleted").mapInArrow(run, "page_id bigint, url string, text string")

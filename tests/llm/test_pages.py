@@ -41,6 +41,24 @@ def test_differencing(spark):
     assert got[62] == got[63] == "Site name\nTop stories\nthe very same page\nContact us"
 
 
+def test_marked_pages_are_differenced(spark):
+    page = lambda body: f"<html><body><article><h1>Head {body[:9]}</h1><div class='zq'>Tell a friend</div>{body}</article></body></html>"
+    shared = "<p>a quotation that two of the articles have in common</p>"
+    rows = [(i, f"http://h.example/n/{i}", page(f"{i} own words {i * 7919} of a story {i * 31}" + (shared if i in (12, 13) else ""))) for i in range(10, 22)]
+    got = run(spark, rows)
+    assert not any("Tell a friend" in x for x in got.values())
+    assert all("a quotation that two" in got[i] for i in (12, 13)) and all(f"{i} own words" in got[i] for i in range(10, 22))
+    copies = [(i, f"http://c.example/{i}", page("<p>the same long story on every page</p>" + f"<p>{i}</p>")) for i in range(6)]
+    assert all("the same long story" in x for x in run(spark, copies).values())
+
+
+def test_differencing_looks_past_copies(spark):
+    heavy = "".join(f"<div>Furniture line number {i} of the site</div>" for i in range(20))
+    rows = [(i, f"http://h.example/n/{i}", f"<html><body>{heavy}<p>Story {i if i < 20 else 20}</p></body></html>") for i in range(10, 60)]
+    got = run(spark, rows)
+    assert all(got[i] == f"Story {min(i, 20)}" for i in range(10, 60))
+
+
 @pytest.mark.parametrize("cells", [pages.CELLS, 20])
 def test_common_lines_is_longest(cells, monkeypatch):
     monkeypatch.setattr(pages, "CELLS", cells)
