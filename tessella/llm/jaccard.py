@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, n: int, prefix: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], ["id", "tag", "n_shingles", "one", "two", "keys"])
 
-    return materialize(docs.select("id", "tag", "text").mapInArrow(run, "id bigint, tag int, n_shingles bigint, one bigint, two bigint, keys array<bigint>"), "signatures")
+    return materialize(docs.select("id", "tag", "text").mapInArrow(run, "id bigint, tag bigint, n_shingles bigint, one bigint, two bigint, keys array<bigint>"), "signatures")
 
 
 def components(members: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def verified(docs: DataFrame, placed: DataFrame, n: int, threshold: float) -> Da
             total, label = links_of([np.frombuffer(rows[x][3], np.uint64) for x in nodes], weights, sides, threshold)
             groups = [now * 1_000_003 + 1 + int(x) for x in label]
             groups = [(g + 2**63) % 2**64 - 2**63 for g in groups]
-            node = pa.StructArray.from_arrays([pa.array([x[0] for x in nodes], pa.int64()), pa.array([x[1] for x in nodes], pa.int32())], ["id", "tag"])
+            node = pa.StructArray.from_arrays([pa.array([x[0] for x in nodes], pa.int64()), pa.array([x[1] for x in nodes], pa.int64())], ["id", "tag"])
             return pa.RecordBatch.from_arrays([node, pa.array(groups, pa.int64()), pa.array(total, pa.int64())], ["node", "group", "links"])
 
         now, rows = None, {}
@@ -216,11 +216,11 @@ def verified(docs: DataFrame, placed: DataFrame, n: int, threshold: float) -> Da
             yield done(rows)
 
     met = dealt.repartition("task").sortWithinPartitions("task").select("task", "node", "weight", "block", "crossed", "shingles")
-    return met.mapInArrow(check, "node struct<id:bigint,tag:int>, group bigint, links bigint")
+    return met.mapInArrow(check, "node struct<id:bigint,tag:bigint>, group bigint, links bigint")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "tag": F.hash("text")})
+    return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "tag": F.xxhash64("text")})
 
 
 def similar_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, target: float = 0.9999) -> DataFrame:
@@ -251,7 +251,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     found = similar_documents(docs, **how)
     stay = found.where(F.struct("id", "tag") == F.col("label")).select(F.col("id").alias("keep_id"), F.col("tag").alias("keep_tag")).distinct()
     row = F.struct(*[F.col(c) for c in docs.columns])
-    own = docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.hash("text").alias("tag"))
+    own = docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("tag"))
     kept = own.join(stay, (F.col("id") == F.col("keep_id")) & (F.col("tag") == F.col("keep_tag")), "left_semi")
     blank = F.coalesce(F.col("row.text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*\z")
     return kept.where(~blank).dropDuplicates(["id", "tag"]).select("row.*").unionByName(own.where(blank).select("row.*"))

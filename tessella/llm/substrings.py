@@ -63,14 +63,14 @@ def _twice(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pack(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, n: np.ndarray, text: bytes) -> bytes:
     """n is a count of windows in a verdict, and 0 in a super-k-mer without places."""
-    head = b"".join((np.int64(len(ids)).tobytes(), ids.astype("<i8").tobytes(), tags.astype("<i4").tobytes(), starts.astype("<i4").tobytes(), n.astype("<i4").tobytes()))
+    head = b"".join((np.int64(len(ids)).tobytes(), ids.astype("<i8").tobytes(), tags.astype("<i8").tobytes(), starts.astype("<i4").tobytes(), n.astype("<i4").tobytes()))
     return zstandard.ZstdCompressor(level=3).compress(head + text)
 
 
 def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     raw = zstandard.ZstdDecompressor().decompress(packed)
     n, out, at = int(np.frombuffer(raw, "<i8", 1)[0]), [], 8
-    for kind, width in (("<i8", 8), ("<i4", 4), ("<i4", 4), ("<i4", 4)):
+    for kind, width in (("<i8", 8), ("<i8", 8), ("<i4", 4), ("<i4", 4)):
         out.append(np.frombuffer(raw, kind, n, at))
         at += width * n
     return (*out, raw[at:])
@@ -165,7 +165,7 @@ def repeated_windows(docs: DataFrame, k: int) -> DataFrame:
     @tidy
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(ids: np.ndarray, tags: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int32()), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["id", "tag", "first", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["id", "tag", "first", "n"])
 
         now, parts = None, []
         for batch in batches:
@@ -182,7 +182,7 @@ def repeated_windows(docs: DataFrame, k: int) -> DataFrame:
             yield from (out(*x) for x in _count(parts, k))
 
     packed = docs.select("id", "tag", "text").mapInArrow(pack, "bucket int, kind tinyint, packed binary")
-    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verdicts, "id bigint, tag int, first int, n int")
+    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verdicts, "id bigint, tag bigint, first int, n int")
     return met.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
 
 
@@ -193,7 +193,7 @@ def remove_repeated(docs: DataFrame, *, window: int = 35, keep: tuple[str, ...]
     anywhere else; windows are judged on the input. Kept words are joined by one space.
     """
     modest_batches(docs.sparkSession)
-    keyed = docs.select(F.struct(*keep).alias("doc"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.hash("text").alias("tag"), "text")
+    keyed = docs.select(F.struct(*keep).alias("doc"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("tag"), "text")
     found = repeated_windows(keyed, window)
     joined = keyed.join(found.withColumnsRenamed({"id": "found_id", "tag": "found_tag"}), (F.col("id") == F.col("found_id")) & (F.col("tag") == F.col("found_tag")), "left").select("doc", "text", "ranges")
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import jaccard
 from tessella.llm.jaccard import keep_one, links_of, prefix_length, similar_documents
@@ -72,6 +73,14 @@ def test_one_of_each_class_stays(spark):
     assert len(kept) == len(found) and all(sum(t in c for t in kept) >= 1 for c in found)
 
 
+def test_null_ids_of_equal_32_bit_hashes_stay_apart(spark):
+    one, two = (" ".join(f"k{j}x{i}" for j in range(6)) for i in (171520, 344593))
+    df = spark.createDataFrame([(None, one), (None, two), (7, two)], "doc_id bigint, text string")
+    assert df.select(F.hash("text")).distinct().count() == 1
+    assert {r.text for r in keep_one(df.limit(2)).collect()} == {one, two}
+    assert sorted(r.n_links for r in similar_documents(df).collect()) == [0, 1, 1]
+
+
 def test_common_shingles_counted_by_absence():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 60).astype(np.uint64)

@@ -44,5 +44,11 @@ def test_matches_brute_force(spark):
     assert run(spark, rows, k=6) == expected(rows, 6)
 
 
+def test_null_ids_of_equal_32_bit_hashes_stay_apart(spark):
+    one, two = (" ".join(f"k{j}x{i}" for j in range(6)) for i in (171520, 344593))
+    rows = [(None, one), (None, two), (1, f"more {one}")]
+    assert run(spark, rows, k=6) == expected(rows, 6)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
