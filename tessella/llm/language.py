@@ -124,15 +124,16 @@ def suffix_of(host: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(host), r"\.([a-z0-9-]+)(?::\d+)?$", 1), F.lit(""))
 
 
-def identify(docs: DataFrame, *, languages: tuple[str, ...] = ("de", "en", "es", "fr"), text: str = "text", label: str = "lang", host: str | None = "source", declared: str | None = None, keep: tuple[str, ...] = ("doc_id",), sample_rows: int = 8000, full: float = 60.0, strength: float = 20.0, trust: float = 0.9, least: float = 0.5) -> DataFrame:
+def identify(docs: DataFrame, *, languages: tuple[str, ...] = ("de", "en", "es", "fr"), text: str = "text", label: str = "lang", host: str | None = "source", declared: str | None = None, keep: tuple[str, ...] = ("doc_id",), sample_rows: int = 8000, full: float = 60.0, strength: float = 20.0, trust: float = 0.9, least: float = 0.5, labelled: DataFrame | None = None) -> DataFrame:
     """Rows doc (a struct of the columns in keep), language, probability, accepted.
 
-    label names the column that fits the model on a sample of at most sample_rows rows; it is no evidence. declared
+    label names the column that fits the model on a sample of at most sample_rows rows; it is no evidence. labelled is
+    the table that has it, if docs has none. declared
     names a column of declared languages, right with probability `trust`. Accepted: a listed language with a
     probability of `least` or more.
     """
     modest_batches(docs.sparkSession)
-    model = fit(docs, languages, text=text, label=label, rows=sample_rows)
+    model = fit(docs if labelled is None else labelled, languages, text=text, label=label, rows=sample_rows)
     hosted = F.coalesce(F.col(host).cast("string"), F.lit("")) if host else F.lit("")
     said = F.lower(F.substring(F.col(declared).cast("string"), 1, 2)) if declared else F.lit(None).cast("string")
     df = docs.select(F.struct(*keep).alias("doc"), F.col(text).alias("text"), hosted.alias("host"), said.alias("declared"))

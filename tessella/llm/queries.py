@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.llm.bpe import encode_texts, read_definition
 from tessella.llm.decontamination import decontaminate
 from tessella.llm.jaccard import NO_ID, similar_documents
-from tessella.llm.language import identify
+from tessella.llm.language import identify, page_evidence
 from tessella.llm.licenses import scan_licenses
 from tessella.llm.pages import extract
 from tessella.llm.quality import quality_rules
@@ -59,6 +59,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "language", F.round("probability", 6).alias("probability"), F.col("accepted").alias("kept"))
 
 
+def op5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of raw pages by all evidences: text, declared language, host and its suffix; documents fit the model."""
+    out = identify(page_evidence(read(spark, sf_dir, "pages")), declared="declared", host="host", keep=("page_id",), labelled=read(spark, sf_dir, "documents"))
+    return out.select("doc.page_id", "language", F.round("probability", 6).alias("probability"), F.col("accepted").alias("kept"))
+
+
 def license_digest(scanned: DataFrame) -> DataFrame:
     """Counts and labels from the spans of scan_licenses."""
     base = F.filter("spans", lambda s: s["base"])
@@ -109,6 +115,7 @@ QUERIES = {
     "op3_jaccard": op3_jaccard,
     "op4_bpe": op4_bpe,
     "op5_language": op5_language,
+    "op5_pages": op5_pages,
     "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from tessella.llm.language import fit, identify, page_evidence, trigrams
+from tessella.llm.queries import QUERIES
 
 VOCAB = {"en": "the of and to that with from have this which".split(), "de": "der die und nicht mit werden durch über schön auch".split(), "fr": "le la et dans pour avec être où déjà très".split()}
 
@@ -50,3 +51,13 @@ def test_pages_and_empty(spark):
     assert (got[1].host, got[1].declared, got[1].text.split()) == ("a.example.de", "de", ["und"]) and got[2].text == ""
     assert run(corpus(spark).limit(0)) == {}
     assert np.isfinite(fit(corpus(spark).limit(0), ("en",), text="text", label="lang", rows=5)).all()
+
+
+def test_query_of_pages_uses_declaration_and_suffix(spark, tmp_path):
+    page = lambda i, said, url, body: (i, url, f'<html lang="{said}"><p>{body}</p></html>' if said else f"<p>{body}</p>")
+    pages = [page(i, "", f"http://h{i}.example.{x}/", text(x, 60, i)) for i, x in enumerate(["de", "fr"] * 40)]
+    pages += [page(100, "de", "http://a.example.org/", "zq"), page(101, "fr", "http://a.example.org/", "zq"), page(102, "", "http://new1.example.de/", "zq"), page(103, "", "http://new2.example.fr/", "zq")]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    corpus(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.page_id: r.language for r in QUERIES["op5_pages"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(pages) and [got[i] for i in (100, 101, 102, 103)] == ["de", "fr", "de", "fr"]
