@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 
 from tessella.llm.decontamination import words_of
 from tessella.llm.textbits import letter_words, modest_batches, slices, tidy, word_hashes
+from tessella.session import materialize
 
 CHUNK = 1_000_000
-#: Words of a model and labelled texts that calibrate it, at most.
-MOST_WORDS, CALIBRATION_ROWS = 20_000, 20_000
+#: Labelled texts that calibrate a model, at most.
+CALIBRATION_ROWS = 20_000
 #: Labelled rows that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 SEED = 11
@@ -82,16 +83,15 @@ def segments(at: np.ndarray, scores: np.ndarray, drift: float) -> list[tuple[int
     return [(a, b, right - left) for left, right, a, b in stack]
 
 
-def log_odds(words: DataFrame, n_toxic: int, n_clean: int, *, least_z: float, least_score: float, prior: float) -> list[tuple[str, float, int, int]]:
-    """Words whose log-odds are clearly and strongly positive, the clearest MOST_WORDS; words: term, toxic, clean."""
+def log_odds(words: DataFrame, n_toxic: int, n_clean: int, *, least_z: float, least_score: float, prior: float) -> pa.Table:
+    """term, score, n of all words whose log-odds are clearly and strongly positive; words: term, toxic, clean, n."""
     total = n_toxic + n_clean
     a = prior * (F.col("toxic") + F.col("clean"))
     mass = prior * total
     odds = lambda y, n: F.log((F.col(y) + a) / (F.lit(float(n)) + mass - F.col(y) - a))
     scored = words.withColumn("score", odds("toxic", n_toxic) - odds("clean", n_clean))
     scored = scored.withColumn("z", F.col("score") / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a)))
-    rows = scored.where((F.col("z") >= least_z) & (F.col("score") >= least_score)).orderBy(F.desc("z"), "term").limit(MOST_WORDS).collect()
-    return [(r["term"], r["score"], r["toxic"], r["clean"]) for r in rows]
+    return scored.where((F.col("z") >= least_z) & (F.col("score") >= least_score)).select("term", "score", "n").toArrow()
 
 
 def decay(scores: np.ndarray, shares: np.ndarray, drift: float) -> float:
@@ -162,18 +162,23 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, drift: float = 0.5, least_z: float = 2.5, least_score: float = 1.5, prior: float = 0.01, significant: float = 0.05) -> Toxicity:
-    """A model from all labelled rows that are not held out; a word counts once in a text."""
+    """A model from all labelled rows that are not held out; a word counts once in a text for its score, each time for lambda."""
     modest_batches(docs.sparkSession)
     rows = labelled(docs, labels)
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n = (size.get(1, 0), size.get(0, 0))
     if not all(n):
         return Toxicity(np.zeros(0, np.uint64), np.zeros(0), drift, 1.0, np.array([-30.0, 0, 0, 0]))
-    terms = rows.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"), "toxic")
-    words = terms.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    sorted_words = rows.select(F.sort_array(words_of(F.col("text"))).alias("w"), "toxic")
+    each = F.transform("w", lambda x, i: F.struct(x.alias("term"), F.coalesce(F.get("w", i - 1) != x, F.lit(True)).cast("int").alias("new")))
+    terms = sorted_words.select(F.explode(each).alias("x"), "toxic").select("x.term", "x.new", "toxic")
+    # toxic and clean count texts; n counts all occurrences in clean texts.
+    words = terms.groupBy("term").agg(F.sum(F.col("new") * F.col("toxic")).alias("toxic"), F.sum(F.col("new") * (1 - F.col("toxic"))).alias("clean"), F.sum(1 - F.col("toxic")).alias("n"))
+    words = materialize(words, "toxic-words")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     picked = log_odds(words, *n, least_z=least_z, least_score=least_score, prior=prior)
-    hashes, scores = hash_of([w[0] for w in picked]), np.array([w[1] for w in picked])
-    clean = np.array([w[3] + 0.5 for w in picked]) / (n[1] * 100.0)
+    hashes, scores = hash_of(picked.column("term").to_pylist()), picked.column("score").to_numpy()
+    clean = (picked.column("n").to_numpy() + 0.5) / (total + 0.5 * len(scores)) if len(scores) else scores
     order = np.argsort(hashes)
     model = Toxicity(hashes[order], scores[order], drift, decay(scores, clean, drift), np.zeros(4))
     seen = rows.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(CALIBRATION_ROWS)

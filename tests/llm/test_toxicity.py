@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessella.llm.toxicity import fold, score, segments, train
+from tessella.llm.toxicity import decay, fold, hash_of, log_odds, score, segments, train
 
 
 def brute(values):
@@ -65,3 +65,21 @@ def test_no_labels_and_empty(spark):
     docs, labels = tables(spark)
     assert all(r.score < 1e-6 for r in score(docs, train(docs, labels.limit(0))).collect())
     assert score(docs.limit(0), train(docs.limit(0), labels)).collect() == []
+
+
+def test_lambda_by_occurrences_in_clean_texts(spark):
+    docs, labels = tables(spark)
+    docs = docs.unionByName(spark.createDataFrame([(i, "vile w1 w2 vile w3", "en", 0.5) for i in range(5000, 5020)], docs.schema))
+    labels = labels.unionByName(spark.createDataFrame([(i, 1, 0) for i in range(5000, 5020)], labels.schema))
+    model = train(docs, labels)
+    toxic = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id is not None and r.toxic is not None}
+    words = [w for r in docs.collect() if not toxic.get(r.doc_id, 1) and zlib.crc32(str(r.doc_id).encode()) % 5 for w in r.text.split()]
+    counts = {int(h): words.count(w) for w in set(words) | {"vile", "awful", "nasty"} for h in hash_of([w])}
+    k = len(model.hashes)
+    shares = np.array([(counts.get(int(h), 0) + 0.5) / (len(words) + 0.5 * k) for h in model.hashes])
+    assert k and abs(model.scale - decay(model.scores, shares, model.drift)) < 1e-9
+
+
+def test_all_words_with_evidence_stay(spark):
+    words = spark.range(20_050).select(F.concat(F.lit("w"), "id").alias("term"), F.lit(50).alias("toxic"), F.lit(0).alias("clean"), F.lit(0).alias("n"))
+    assert log_odds(words, 1000, 1000, least_z=2.5, least_score=1.5, prior=0.01).num_rows == 20_050
