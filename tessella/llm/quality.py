@@ -27,6 +27,10 @@ COMMON = {
 #: Classes in the order in which they are taken out of the text; what is left counts as other.
 CLASSES = [("lower", r"[\p{Ll}\p{Lo}\p{M}]+"), ("space", r"\s+"), ("upper", r"[\p{Lu}\p{Lt}]+"), ("digit", r"\p{N}+"), ("sentence", r"[.,;:!?'\"()\-]+"), ("symbol", SYMBOLS + "+")]
 
+#: How many quartile ranges above the third quartile a distance may lie. Character classes vary so little between texts
+#: that theirs reaches further.
+CHARS_REACH, COMMON_REACH = 40.0, 1.5
+
 
 def words_of(text: Column) -> Column:
     """The text's words: runs of anything but ASCII white space."""
@@ -106,11 +110,27 @@ def language_references(counts: DataFrame, languages: tuple[str, ...]) -> dict[s
     return out
 
 
-def quality_rules(docs: DataFrame, *, languages: tuple[str, ...] = ("de", "en", "es", "fr"), min_chars: int = 200, min_words: int = 60, max_chars_distance: float = 0.33, max_common_distance: float = 0.50) -> DataFrame:
+def upper_fence(judged: DataFrame, column: str, reach: float) -> float:
+    """The third quartile of a distance plus `reach` times what lies between the quartiles; 1 if nothing has one.
+
+    Quartiles come from counts of ten-thousandths, so that they do not depend on the order of tasks.
+    """
+    bins = judged.where(F.col(column).isNotNull()).groupBy(F.ceil(F.col(column) * 10_000).cast("int").alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect()
+    total, seen, quartile = sum(r["n"] for r in bins), 0, {}
+    for r in bins:
+        seen += r["n"]
+        for q in (1, 3):
+            if 4 * seen >= q * total:
+                quartile.setdefault(q, r["bin"] / 10_000)
+    return quartile[3] + reach * (quartile[3] - quartile[1]) if quartile else 1.0
+
+
+def quality_rules(docs: DataFrame, *, languages: tuple[str, ...] = ("de", "en", "es", "fr"), min_chars: int = 200, min_words: int = 60, max_chars_distance: float | None = None, max_common_distance: float | None = None) -> DataFrame:
     """Counts, distances to the nearest reference, base_failed and kept of each document.
 
     A text of fewer than min_chars characters has no chars_distance and one of fewer than min_words words no
-    common_distance (null); a missing distance never rejects. References exist for the listed languages only.
+    common_distance (null); a missing distance never rejects. References exist for the listed languages only. A largest
+    distance that is not given is derived from all documents' distances (see upper_fence).
     """
     counts = materialize(quality_counts(docs), "quality-counts")
     references = language_references(counts, languages)
@@ -119,5 +139,10 @@ def quality_rules(docs: DataFrame, *, languages: tuple[str, ...] = ("de", "en",
     out = out.withColumn("chars_distance", F.when(F.col("n_chars") >= min_chars, nearest("chars", "n_chars", 0)))
     out = out.withColumn("common_distance", F.when(F.col("n_words") >= min_words, nearest("common", "n_words", 1)))
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    out = materialize(out, "quality-distances")
+    if max_chars_distance is None:
+        max_chars_distance = upper_fence(out, "chars_distance", CHARS_REACH)
+    if max_common_distance is None:
+        max_common_distance = upper_fence(out, "common_distance", COMMON_REACH)
     diverges = F.coalesce(F.col("chars_distance") > max_chars_distance, F.lit(False)) | F.coalesce(F.col("common_distance") > max_common_distance, F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~diverges)

@@ -5,7 +5,7 @@ from math import log2, sqrt
 
 import pytest
 
-from tessella.llm.quality import CLASSES, COMMON, quality_rules
+from tessella.llm.quality import CLASSES, COMMON, quality_rules, upper_fence
 
 SCHEMA = "doc_id bigint, text string, lang string, chars int, w string"
 
@@ -63,5 +63,16 @@ def test_verdict_follows_divergence(spark):
         assert own.chars_distance == pytest.approx(min(distance(own.chars, q) for q in sums.values()), abs=1e-9)
 
 
+def test_thresholds_follow_the_distances(spark):
+    rng = random.Random(9)
+    prose = lambda i: " ".join(rng.choices([*COMMON["en"], *[f"w{j}" for j in range(25)]], k=200))
+    bare = " | ".join(f"piece{j} part{j}" for j in range(60))
+    got = {r.doc_id: r for r in run(spark, [*[(i, prose(i), "en") for i in range(60)], (100, bare, "en")])}
+    mild = got[100].common_distance
+    assert not got[100].base_failed and 0.1 < mild < 0.5 and not got[100].kept and sum(got[i].kept for i in range(60)) >= 57
+    df = spark.createDataFrame([(x / 100,) for x in [*range(10, 21), 45]] + [(None,)], "d double")
+    assert upper_fence(df, "d", 1.5) == pytest.approx(0.18 + 1.5 * (0.18 - 0.12)) and upper_fence(df.limit(0), "d", 1.5) == 1.0
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
