@@ -103,19 +103,38 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, keep:
     return df.select("doc", "text", F.size("w").cast("long").alias("n_words"), "hits", F.coalesce(cover["n"], F.lit(0)).cast("long").alias("n_hit"), F.coalesce(found, F.array().cast("array<string>")).alias("items"))
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, *, within: int = 8, window: int = 10) -> DataFrame:
-    """Rows doc_id, wid, items, first, last: places where a window's two rarest words stand within so many words.
+def rarest_known(docs: DataFrame, windows: DataFrame, keep: int) -> DataFrame:
+    """wid, term of the rarest distinct terms of each window that the corpus has, even if it lacks others."""
+    terms = windows.select("wid", F.explode(F.array_distinct("words")).alias("term"))
+    known = terms.join(term_counts(docs, terms.select("term").distinct()), "term")
+    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("wid").orderBy("n_corpus", "term")))
+    return ranked.where(F.col("rank") <= keep).select("wid", "term")
 
-    Unlike the phrase match, order and distance are free up to `within`; positions meet in bands of that width.
+
+def proximity_matches(docs: DataFrame, items: DataFrame, *, within: int = 8, window: int = 10, anchors: int = 4, share: float = 0.7) -> DataFrame:
+    """Rows doc_id, wid, items, first, last, found: places near which most of a window's distinct words stand.
+
+    Order and distance are free. Two of the window's rarest known words (its `anchors`), next to each other among
+    these and at most `within` words apart, make a place first to last; a window of one distinct word has each of its
+    occurrences. found is the number of the window's distinct words in the text from a window's length before first to
+    as far behind last: `share` of them, rounded up, and two at least if the window has two.
     """
     docs = keyed(docs)
-    windows = materialize(benchmark_windows(items, window), "windows")
-    rare = materialize(rarest_terms(docs, windows, 2), "rare-terms")
+    windows = materialize(benchmark_windows(items, window).withColumn("different", F.size(F.array_distinct("words"))), "windows")
+    rare = materialize(rarest_known(docs, windows, anchors), "rare-terms")
     index = postings(docs, rare.select("term").distinct())
-    at = lambda rank: index.join(bounded(rare.where(F.col("rank") == rank).select("wid", "term")), "term").select("wid", "id", "tag", F.col("pos").alias(f"p{rank}"))
-    band = lambda p: F.floor(F.col(p) / within)
-    one = at(1).withColumn("band", F.explode(F.array(*[band("p1") + d for d in (-1, 0, 1)])))
-    both = one.join(at(2).withColumn("band", band("p2")), ["wid", "id", "tag", "band"]).where((F.abs(F.col("p1") - F.col("p2")) <= within) & (F.col("p1") != F.col("p2")))
-    placed = both.join(bounded(windows.select("wid", "items")), "wid")
-    out = placed.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "wid", "items", F.least("p1", "p2").alias("first"), F.greatest("p1", "p2").alias("last"))
-    return out.distinct()
+    placed = index.join(bounded(rare), "term").join(bounded(windows.select("wid", "different")), "wid")
+    by = Window.partitionBy("wid", "id", "tag").orderBy("pos")
+    # Rows that repeat have each place as often.
+    paired = placed.select("wid", "id", "tag", "term", "pos", "different").distinct().withColumns({"before": F.lag("pos").over(by), "other": F.lag("term").over(by)})
+    single = F.col("different") == 1
+    near = paired.where(single | (F.col("other") != F.col("term")) & (F.col("pos") - F.col("before") <= within))
+    spans = near.select("wid", "id", "tag", F.when(single, F.col("pos")).otherwise(F.col("before")).alias("first"), F.col("pos").alias("last"))
+    full = spans.join(bounded(windows.select("wid", "n", "words", "items", "different")), "wid")
+    texts = docs.dropDuplicates(["id", "tag"]).select("id", "tag", "text")
+    per_doc = full.groupBy("id", "tag").agg(F.collect_list(F.struct("wid", "items", "first", "last", "n", "words", "different")).alias("may"))
+    split = per_doc.join(texts, ["id", "tag"]).select("id", "may", words_of(F.col("text")).alias("w"))
+    each = split.select("id", "w", F.explode("may").alias("c")).select("id", "c.*", F.slice("w", F.greatest(F.lit(1), F.col("c.first") - F.col("c.n") + 1), F.col("c.last") - F.col("c.first") + 2 * F.col("c.n") + 1).alias("around"))
+    found = each.withColumn("found", F.size(F.array_intersect("words", "around")))
+    enough = F.least(F.col("different"), F.greatest(F.lit(2), F.ceil(F.lit(share) * F.col("different"))))
+    return found.where(F.col("found") >= enough).select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "wid", "items", "first", "last", "found").distinct()

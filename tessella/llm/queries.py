@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.bpe import encode_texts, read_definition
-from tessella.llm.decontamination import decontaminate
+from tessella.llm.decontamination import decontaminate, proximity_matches
 from tessella.llm.jaccard import NO_ID, similar_documents
 from tessella.llm.language import identify, page_evidence
 from tessella.llm.licenses import scan_licenses
@@ -92,6 +92,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids, (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places near which most words of a benchmark window stand; op7_decontamination has the exact phrases."""
+    out = proximity_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "wid", F.array_join("items", ",").alias("items"), "first", "last", "found")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_distance", "common_distance")
@@ -118,6 +124,7 @@ QUERIES = {
     "op5_pages": op5_pages,
     "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
+    "op7_proximity": op7_proximity,
     "op8_quality": op8_quality,
     "op9_tokens": op9_tokens,
     "op10_toxicity": op10_toxicity,

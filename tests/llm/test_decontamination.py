@@ -2,6 +2,7 @@ import random
 import re
 
 from tessella.llm.decontamination import decontaminate, proximity_matches
+from tessella.llm.queries import QUERIES
 
 
 def words(text):
@@ -55,3 +56,13 @@ def test_proximity(spark):
     d = spark.createDataFrame([(1, "alpha x y beta"), (2, "beta " + "x " * 30 + "alpha"), (3, "beta alpha")], "doc_id bigint, text string")
     b = spark.createDataFrame([(9, "alpha beta")], "item_id bigint, text string")
     assert sorted((r.doc_id, r.first, r.last) for r in proximity_matches(d, b, within=5).collect()) == [(1, 0, 3), (3, 0, 1)]
+
+
+def test_proximity_of_reworded_passages(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten"
+    texts = [(1, "so one two three four five sixth seven eight nine ten so"), (2, "ten two nine one three eight seven four five"), (3, "one two " + "x " * 40 + "three four"), (4, "lonely"), (None, "one two and ten")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    item = item.replace("six", "zzz")
+    spark.createDataFrame([(9, item), (8, "lonely")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r["items"], r.found) for r in QUERIES["op7_proximity"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "9", 9), (2, "9", 9), (4, "8", 1)}
