@@ -1,9 +1,9 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard self-join by fixed MinHash bands in place of an LSH forest, with exact verification.
 
 A text is the set of its five-word shingles. Texts of equal sets are one node, so copies cost nothing further. Each of
 the forest's trees labels a node with a run of minimum hashes; nodes that share a prefix of a label are candidates.
-The prefix starts at the trees' full depth and is shortened until the forest's recall at the threshold reaches the
-target. Nodes connected by shared prefixes go to tasks in blocks of bounded size, a task for each pair of blocks of a
+The prefix has one length, the longest whose recall at the threshold reaches the target by closed form; it does not
+adapt to the data. Nodes connected by shared prefixes go to tasks in blocks of bounded size, a task for each pair of blocks of a
 component, which verifies all its pairs: shingles that most nodes have are counted by their absence, so a large group
 of near copies costs little more than its differences. Tasks return counts and classes, never pairs.
 
