@@ -1,15 +1,22 @@
-"""N-gram Jaccard self-join by fixed MinHash bands in place of an LSH forest, with exact verification.
+"""N-gram Jaccard self-join by a MinHash LSH forest, with exact verification.
 
 A text is the set of its five-word shingles. Texts of equal sets are one node, so copies cost nothing further. Each of
-the forest's trees labels a node with a run of minimum hashes; nodes that share a prefix of a label are candidates.
-The prefix has one length, the longest whose recall at the threshold reaches the target by closed form; it does not
-adapt to the data. Nodes connected by shared prefixes go to tasks in blocks of bounded size, a task for each pair of blocks of a
-component, which verifies all its pairs: shingles that most nodes have are counted by their absence, so a large group
-of near copies costs little more than its differences. Tasks return counts and classes, never pairs.
+the forest's trees labels a node with a run of DEPTH minimum hashes. The labels of a tree, sorted, are its prefix trie:
+neighbours in that order share the longest prefixes, and a subtree is a run of it. Subtrees at the shortest prefix that
+may be needed are dealt to tasks (large ones in pairs of blocks); a task walks the sorted labels and links nodes at the
+longest prefix that they share, if all their minimum hashes together estimate a similarity near the threshold, so that
+unlike texts that meet by chance connect nothing. The matched prefix starts at the whole label and is shortened, a hash
+at a time, until the recall that the links of all trees let expect reaches the target; links at shorter prefixes are
+not used. At the shortest prefix a pair at the threshold itself meets with the target's probability.
+
+Nodes that these links connect are verified exactly, in blocks of bounded size, a task for each pair of blocks of a
+component: shingles that most nodes have are counted by their absence, so a large group of near copies costs little
+more than its differences. Tasks return counts and classes, never pairs.
 
 Defined cases: a text of one to four words has one shingle, all its words; a null or empty text has no shingle, no link
 and a class of its own; repeated rows, even of one doc_id, are copies of each other and link; a null doc_id is an id
-like any other and a class may carry it; an empty table gives an empty result. Only doc_id and text are read.
+like any other and a class may carry it; an empty table gives an empty result. Only doc_id and text are read. Shingles
+and rows are told apart by hashes of 64 bits, sets by 128 bits and their size.
 """
 
 from __future__ import annotations
@@ -18,24 +25,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.textbits import K1, K4, Rolling, mix, slices, tidy, word_hashes
+from tessella.llm.textbits import K1, K4, Rolling, mix, modest_batches, slices, tidy, word_hashes
 from tessella.session import materialize
 
 NO_ID = -(2**63)
 CHUNK = 3_000_000
 #: Trees of the forest and minimum hashes of a label.
-TREES, DEPTH = 24, 6
-#: Shingles of a block of a component.
-BLOCK = 400_000
+TREES, DEPTH = 24, 8
+#: Nodes of a block of a subtree, and shingles of a block of a component.
+SUBTREE, BLOCK = 8_000, 400_000
+#: Standard errors of the estimated similarity that a link may lie below the threshold.
+SLACK = 4.9
+
+
+def recall(similarity: float, prefix: int) -> float:
+    """The chance that a pair of that similarity shares a prefix of that length in some tree."""
+    return 1 - (1 - similarity**prefix) ** TREES
 
 
 def prefix_length(threshold: float, target: float) -> int:
     """The longest prefix at which a pair of that similarity meets in some tree with the target's probability."""
     for k in range(DEPTH, 0, -1):
-        if 1 - (1 - threshold**k) ** TREES >= target:
+        if recall(threshold, k) >= target:
             return k
     raise ValueError("no prefix reaches the target: more trees are needed")
 
@@ -66,22 +80,25 @@ def _coefficients() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**63, TREES * DEPTH).astype(np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, TREES * DEPTH).astype(np.uint64)
 
 
-def forest_keys(hashes: np.ndarray, counts: np.ndarray, prefix: int) -> np.ndarray:
-    """Of each text with shingles, the prefix of its label in every tree as a 64-bit key."""
+def forest_labels(hashes: np.ndarray, counts: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text with shingles: 64-bit keys [text, tree] of its labels' shortest prefixes, and all labels, a byte a minimum."""
     heads = (np.cumsum(counts) - counts)[counts > 0]
-    out = np.zeros((len(heads), TREES), np.uint64)
+    keys, labels = np.zeros((len(heads), TREES), np.uint64), np.zeros((len(heads), TREES * DEPTH), np.uint8)
     a, b = _coefficients()
     for tree in range(TREES):
         key = np.full(len(heads), tree, np.uint64)
-        for d in range(prefix):
+        for d in range(DEPTH):
             i = tree * DEPTH + d
-            key = mix(key * K1 + np.minimum.reduceat(hashes * a[i] + b[i] >> np.uint64(20), heads))
-        out[:, tree] = key
-    return out
+            least = mix(np.minimum.reduceat(hashes * a[i] + b[i] >> np.uint64(20), heads) + np.uint64(i))
+            labels[:, i] = least.astype(np.uint8)
+            if d < shortest:
+                key = mix(key * K1 + least)
+        keys[:, tree] = key
+    return keys, labels
 
 
-def signatures(docs: DataFrame, n: int, prefix: int) -> DataFrame:
-    """id, tag, n_shingles, one, two (a 128-bit hash of the set) and keys of every row, stored."""
+def signatures(docs: DataFrame, n: int, shortest: int) -> DataFrame:
+    """id, tag, n_shingles, one, two (a 128-bit hash of the set), keys and labels of every row, stored."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,12 +108,128 @@ def signatures(docs: DataFrame, n: int, prefix: int) -> DataFrame:
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ k), dtype=np.uint64)]) for k in (K1, K4)]
                 ends = np.cumsum(counts)
                 one, two = (s[ends] - s[ends - counts] for s in sums)
-                keys = forest_keys(hashes, counts, prefix).view(np.int64)
+                keys, labels = forest_labels(hashes, counts, shortest)
                 offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, TREES, 0))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], ["id", "tag", "n_shingles", "one", "two", "keys"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).reshape(-1)))
+                places = iter(labels)
+                packed = [next(places).tobytes() if c else b"" for c in counts.tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, pa.array(packed, pa.binary())], ["id", "tag", "n_shingles", "one", "two", "keys", "labels"])
+
+    return materialize(docs.select("id", "tag", "text").mapInArrow(run, "id bigint, tag bigint, n_shingles bigint, one bigint, two bigint, keys array<bigint>, labels binary"), "signatures")
+
+
+def block_pairs(block: Column, blocks: Column) -> Column:
+    """The pairs (i, j) of blocks, i <= j, that a row of this block belongs to: one for each block."""
+    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, block).alias("i"), F.greatest(o, block).alias("j")))
+
+
+def _bridges(labels: np.ndarray, minima: np.ndarray, shared: np.ndarray, cluster: np.ndarray, shortest: int, least: float) -> list[tuple[int, int, int, float]]:
+    """Links (row, row, prefix, similarity) that connect the clusters of one subtree further, the longest prefixes first.
+
+    shared[i] is the prefix that rows i - 1 and i share; rows of one cluster are connected already.
+    """
+    n, root, out = len(labels), cluster.copy(), []
+    inner = np.arange(n)
+    for prefix in range(DEPTH, shortest - 1, -1):
+        run = np.cumsum(np.concatenate([[0], shared[1:] < prefix]))
+        edges = np.searchsorted(run, np.arange(int(run[-1]) + 2)).tolist()
+        for a, b in zip(edges, edges[1:], strict=False):
+            for i in range(a, b - 1) if b - a > 1 and len(np.unique(root[a:b])) > 1 else ():
+                others = i + 1 + np.flatnonzero((root[i + 1 : b] != root[i]) & (inner[i + 1 : b] != inner[i]))
+                alike = (minima[others] == minima[i]).mean(axis=1)
+                for j, s in zip(others[alike >= least].tolist(), alike[alike >= least].tolist(), strict=True):
+                    if root[j] != root[i]:
+                        out.append((i, j, prefix, s))
+                        root[root == root[j]] = root[i]
+        inner = run
+    return out
+
 
-    return materialize(docs.select("id", "tag", "text").mapInArrow(run, "id bigint, tag bigint, n_shingles bigint, one bigint, two bigint, keys array<bigint>"), "signatures")
+def subtree_links(task: np.ndarray, labels: np.ndarray, minima: np.ndarray, shortest: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links (row, row, shared prefix, similarity of the neighbours behind it) between rows sorted by task and label.
+
+    Links of a prefix or a longer one connect exactly the rows that pairs of similar rows of such prefixes connect.
+    """
+    n = len(task)
+    same = task[1:] == task[:-1]
+    shared = np.concatenate([[0], np.where(same, np.maximum(np.cumprod(labels[1:] == labels[:-1], axis=1, dtype=np.int8).sum(axis=1), shortest), 0)])
+    alike = np.zeros(n)
+    at = np.flatnonzero(same) + 1
+    for a in range(0, len(at), 20_000):
+        now = at[a : a + 20_000]
+        alike[now] = (minima[now] == minima[now - 1]).mean(axis=1)
+    linked = (shared > 0) & (alike >= least)
+    # A chain of neighbours becomes a star: each row is linked to the first that its prefix reaches without a gap.
+    first = np.zeros(n, np.int64)
+    for prefix in range(shortest, DEPTH + 1):
+        gap = ~linked | (shared < prefix)
+        reached = np.maximum.accumulate(np.where(gap, np.arange(n), 0))
+        first = np.where(shared == prefix, reached, first)
+    rows = np.flatnonzero(linked)
+    found = [(first[rows], rows, shared[rows], alike[rows])]
+    heads = np.flatnonzero(np.concatenate([[True], ~same])) if n else np.zeros(0, np.int64)
+    ends = np.append(heads[1:], n)
+    broken = np.add.reduceat((shared > 0) & ~linked, heads) if n else heads
+    cluster = np.cumsum(~linked)
+    for a, b in zip(heads[(broken > 0) & (ends - heads > 2)].tolist(), ends[(broken > 0) & (ends - heads > 2)].tolist(), strict=True):
+        more = _bridges(labels[a:b], minima[a:b], shared[a:b], cluster[a:b], shortest, least)
+        if more:
+            i, j, prefix, s = (np.array(x) for x in zip(*more, strict=True))
+            found.append((i + a, j + a, prefix, s))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def forest_links(nodes: DataFrame, shortest: int, threshold: float) -> DataFrame:
+    """a, b, prefix, alike (in hundredths) of links between nodes in the forest, stored. nodes: node, keys, labels."""
+    each = nodes.select("node", F.posexplode("keys").alias("tree", "subtree"))
+    sizes = each.groupBy("subtree").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    blocks = F.ceil(F.col("n") / SUBTREE).cast("int")
+    members = each.join(sizes.hint("merge"), "subtree").select("node", "tree", "subtree", blocks.alias("blocks"))
+    labelled = members.join(nodes.select("node", "labels").hint("merge"), "node")
+    pairs = block_pairs(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.col("blocks"))
+    dealt = labelled.select("subtree", F.explode(pairs).alias("pair"), "node", F.expr(f"substring(labels, tree * {DEPTH} + 1, {DEPTH})").alias("label"), "labels")
+    least = threshold - SLACK * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
+
+    @tidy
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: pa.Table) -> pa.RecordBatch:
+            bytes_of = lambda name, width: np.frombuffer(b"".join(rows.column(name).to_pylist()), np.uint8).reshape(-1, width)
+            a, b, prefix, alike = subtree_links(rows.column("task").to_numpy(), bytes_of("label", DEPTH), bytes_of("labels", TREES * DEPTH), shortest, least)
+            node = rows.column("node").combine_chunks()
+            return pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b)), pa.array(prefix, pa.int32()), pa.array((100 * alike).astype(np.int32))], ["a", "b", "prefix", "alike"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            task = held.column("task").to_numpy()
+            ended = np.flatnonzero(task != task[-1])
+            if len(ended):
+                yield done(held.slice(0, int(ended[-1]) + 1))
+                held = held.slice(int(ended[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield done(held)
+
+    met = dealt.select(F.xxhash64("subtree", "pair").alias("task"), "node", "label", "labels").repartition("task").sortWithinPartitions("task", "label", "node")
+    node = nodes.schema["node"].dataType.simpleString()
+    return materialize(met.mapInArrow(climb, f"a {node}, b {node}, prefix int, alike int"), "forest-links")
+
+
+def needed_prefix(links: DataFrame, shortest: int, threshold: float, target: float) -> int:
+    """The matched prefix, shortened from the whole label until the recall that the links let expect reaches the target.
+
+    A pair of similarity s makes TREES * s ** shortest links on average, so links tell how many pairs there are of each
+    similarity; one row a prefix and hundredth is collected. Without links it is the shortest.
+    """
+    rows = links.where(F.col("alike") >= int(100 * threshold)).groupBy("alike").agg(F.count("*").alias("n")).collect()
+    pairs = [(max(r["alike"] / 100, threshold), r["n"]) for r in rows]
+    pairs = [(s, n / s**shortest) for s, n in pairs]
+    for prefix in range(DEPTH, shortest, -1):
+        if pairs and sum(n * recall(s, prefix) for s, n in pairs) >= target * sum(n for _, n in pairs):
+            return prefix
+    return shortest
 
 
 def components(members: DataFrame) -> DataFrame:
@@ -187,9 +320,7 @@ def verified(docs: DataFrame, placed: DataFrame, n: int, threshold: float) -> Da
 
     info = rows.select(F.struct("node", "component", "weight", "block", "blocks").alias("row"), "text")
     sets = info.mapInArrow(cut, f"row {info.schema['row'].dataType.simpleString()}, shingles binary").select("row.*", "shingles")
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    pair = F.explode(F.transform(others, lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
-    dealt = sets.withColumn("pair", pair).select(F.xxhash64("component", "pair").alias("task"), F.struct("component", "pair").alias("key"), "node", "weight", "block", (F.col("pair.i") != F.col("pair.j")).alias("crossed"), "shingles")
+    dealt = sets.withColumn("pair", F.explode(block_pairs(F.col("block"), F.col("blocks")))).select(F.xxhash64("component", "pair").alias("task"), F.struct("component", "pair").alias("key"), "node", "weight", "block", (F.col("pair.i") != F.col("pair.j")).alias("crossed"), "shingles")
 
     @tidy
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,14 +359,17 @@ def similar_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, ta
 
     label is the least node of the class that links connect; n_links counts all other rows that are similar.
     """
+    modest_batches(docs.sparkSession)
     own = keyed(docs.select("doc_id", "text")).select("id", "tag", "text")
-    marks = signatures(own, n, prefix_length(threshold, target))
+    shortest = prefix_length(threshold, target)
+    marks = signatures(own, n, shortest)
     node = F.struct("id", "tag")
     full = marks.where(F.col("n_shingles") > 0)
-    nodes = materialize(full.groupBy("one", "two", "n_shingles").agg(F.min(F.struct(node.alias("node"), F.col("keys"))).alias("least"), F.count("*").alias("weight")).select("one", "two", F.col("n_shingles").alias("size"), "least.node", "least.keys", "weight"), "nodes")
-    each = nodes.select("node", F.explode("keys").alias("group"))
-    shared = each.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("group")
-    labels = components(each.join(shared, "group"))
+    least = F.min(F.struct(node.alias("node"), F.col("keys"), F.col("labels"))).alias("least")
+    nodes = materialize(full.groupBy("one", "two", "n_shingles").agg(least, F.count("*").alias("weight")).select("one", "two", F.col("n_shingles").alias("size"), "least.node", "least.keys", "least.labels", "weight"), "nodes")
+    links = forest_links(nodes, shortest, threshold)
+    links = links.where(F.col("prefix") >= needed_prefix(links, shortest, threshold, target)).select("a", "b").distinct()
+    labels = components(links.select(F.col("b").alias("node"), F.col("a").alias("group")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("group")).distinct()))
     placed = materialize(labels.join(nodes.select("node", "weight", "size"), "node").select("node", F.col("label").alias("component"), "weight", "size"), "placed")
     checked = materialize(verified(own, placed, n, threshold), "verified")
     classes = components(checked)

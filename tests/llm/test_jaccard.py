@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import jaccard
-from tessella.llm.jaccard import keep_one, links_of, prefix_length, similar_documents
+from tessella.llm.jaccard import keep_one, links_of, needed_prefix, prefix_length, similar_documents, subtree_links
 
 
 def sets_of(text, n=5):
@@ -51,6 +51,14 @@ def rows_of(seed, n=40):
     return rows
 
 
+def parts(n, pairs):
+    """The sets of rows that pairs connect."""
+    root = list(range(n))
+    for i, j in pairs:
+        root = [root[i] if r == root[j] else r for r in root]
+    return {tuple(k for k in range(n) if root[k] == r) for r in root}
+
+
 def run(spark, rows):
     df = spark.createDataFrame([(*r, 1, "n", 2) for r in rows], "doc_id bigint, text string, id int, node string, weight int")
     null = lambda x: None if x == jaccard.NO_ID else x
@@ -91,6 +99,38 @@ def test_common_shingles_counted_by_absence():
     assert all(label[i] == label[j] for i, a in enumerate(sets) for j, b in enumerate(sets) if near(a, b))
 
 
+def test_subtrees_link_what_similar_pairs_of_each_prefix_connect():
+    rng = np.random.default_rng(3)
+    n, shortest, width = 120, 5, jaccard.TREES * jaccard.DEPTH
+    bases = rng.integers(0, 256, (6, width)).astype(np.uint8)
+    minima = np.where(rng.random((n, width)) < 0.12, rng.integers(0, 256, (n, width)), bases[rng.integers(0, 6, n)]).astype(np.uint8)
+    labels = rng.integers(0, 2, (n, jaccard.DEPTH)).astype(np.uint8)
+    labels[:, :shortest] = 0
+    task = np.sort(rng.integers(0, 4, n))
+    order = np.lexsort((*labels.T[::-1], task))
+    labels, minima = labels[order], minima[order]
+    a, b, prefix, _ = subtree_links(task, labels, minima, shortest, 0.65)
+    for least in range(shortest, jaccard.DEPTH + 1):
+        same = lambda i, j: task[i] == task[j] and (labels[i, :least] == labels[j, :least]).all()
+        pairs = [(i, j) for i in range(n) for j in range(i) if same(i, j) and (minima[i] == minima[j]).mean() >= 0.65]
+        assert pairs and parts(n, pairs) == parts(n, zip(a[prefix >= least].tolist(), b[prefix >= least].tolist(), strict=True))
+
+
+def test_prefix_is_shortened_until_the_recall_is_met(spark):
+    links = lambda *alike: spark.createDataFrame([(x,) for x in alike], "alike int")
+    assert needed_prefix(links(97, 99, 98), 5, 0.8, 0.9999) == 8
+    assert needed_prefix(links(80, 81, 80), 5, 0.8, 0.9999) == 5
+    assert needed_prefix(links(*[99] * 50, 86), 5, 0.8, 0.9999) in (7, 8)
+    assert needed_prefix(links(), 5, 0.8, 0.9999) == 5
+
+
+def test_subtrees_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SUBTREE", 2)
+    rows = rows_of(5, 15)
+    df, got = run(spark, rows)
+    assert got == brute(rows)
+
+
 def test_prefix_and_empty(spark):
-    assert prefix_length(0.8, 0.9999) == 5 and prefix_length(0.95, 0.9999) == 6
+    assert prefix_length(0.8, 0.9999) == 5 and prefix_length(0.95, 0.9999) == 8
     assert run(spark, [])[1] == []
