@@ -93,6 +93,18 @@ def escape_html(text: Column) -> Column:
     return out
 
 
+def uri_component(text: Column) -> Column:
+    """Percent-encoded UTF-8 of all but letters, digits and - _ . ! ~ * ' ( )."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for code, plain in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return out
+
+
+def uri_decoded(text: Column) -> Column:
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
 def safe_filename(name: Column) -> Column:
     """Letters, digits, dot, underscore and dash; other runs become one dash, none at the ends."""
     return F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "-"), r"^-+|-+\z", "")

@@ -42,10 +42,16 @@ def _beside(graph: Graph, at: Column, other: str, limit: int) -> DataFrame:
 
 
 def provenance_report(graph: Graph) -> DataFrame:
-    """Edges with names for ids, where there are some."""
+    """Edges with names for ids, where there are some: proven by a place in the source or not, rule, confidence, certainty.
+
+    Every rule proves what it says, so the confidence is always 1; an edge that may not be taken says so by certainty.
+    """
+    held = set(graph.edges.columns)
+    rule = F.col("rule") if "rule" in held else F.lit(None).cast("string")
+    proven = F.size("evidence") > 0 if "evidence" in held else F.col("line").isNotNull()
     name = lambda side: graph.nodes.select(F.col("id").alias(side), F.col("label").alias(f"{side}_name"))
-    out = graph.edges.join(name("src"), "src", "left").join(name("dst"), "dst", "left")
-    return out.select(F.coalesce("src_name", "src").alias("from_name"), F.coalesce("dst_name", "dst").alias("to_name"), "relation", "certainty")
+    out = graph.edges.withColumns({"_rule": rule, "_proven": proven}).join(name("src"), "src", "left").join(name("dst"), "dst", "left")
+    return out.select(F.coalesce("src_name", "src").alias("from_name"), F.coalesce("dst_name", "dst").alias("to_name"), "relation", "certainty", F.col("_rule").alias("derivation"), F.col("_proven").alias("proven"), F.lit(1).alias("confidence"))
 
 
 def kind_counts(graph: Graph) -> DataFrame:

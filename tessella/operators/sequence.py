@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.upsert import numbered
 from tessella.plans.graph import Graph
 from tessella.session import materialize
 
@@ -28,40 +29,42 @@ def call_items(edges: DataFrame) -> DataFrame:
     return edges.withColumn("item", F.row_number().over(by)).select("src", "item", "dst", "relation", (F.col("certainty") != "POSSIBLE").alias("certain"))
 
 
-def scope(items: DataFrame, root: str, prefix: list[int], depth: int) -> DataFrame:
-    """step (array<int>), src, dst, relation, certain: the messages under root, down to `depth` calls."""
-    start = items.sparkSession.createDataFrame([(root, prefix, [])], "cur string, prefix array<int>, visited array<string>")
-    out = []
-    for _ in range(depth):
-        level = start.join(items.withColumnRenamed("src", "cur"), "cur").withColumn("step", F.concat("prefix", F.array("item")))
-        level = materialize(level.select("cur", "step", "visited", "dst", "relation", "certain"), "scope")
+def scopes(items: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
+    """segment, step (array<int>), src, dst, relation, certain: the messages of all segments, a round a call's depth.
+
+    starts: segment, cur, prefix. Rounds end when no segment goes on: a node is not expanded below itself.
+    """
+    start = starts.select("segment", "cur", "prefix", F.array().cast("array<string>").alias("visited"))
+    steps = items.withColumnRenamed("src", "cur")
+    out: list[DataFrame] = []
+    while depth is None or len(out) < depth:
+        level = start.join(steps, "cur").withColumn("step", F.concat("prefix", F.array("item")))
+        level = materialize(level.select("segment", "cur", "step", "visited", "dst", "relation", "certain"), "scope")
+        out.append(level.select("segment", "step", F.col("cur").alias("src"), "dst", "relation", "certain"))
         if not level.limit(1).count():
             break
-        out.append(level.select("step", F.col("cur").alias("src"), "dst", "relation", "certain"))
         onward = level.where(~F.upper("relation").isin(*ASYNC) & ~F.array_contains("visited", F.col("dst")))
-        start = onward.select(F.col("dst").alias("cur"), F.col("step").alias("prefix"), F.concat("visited", F.array("dst")).alias("visited"))
-    empty = start.join(items.withColumnRenamed("src", "cur"), "cur").select("prefix", "cur", "dst", "relation", "certain").toDF("step", "src", "dst", "relation", "certain").limit(0)
-    return reduce(DataFrame.unionByName, out) if out else empty
+        start = onward.select("segment", F.col("dst").alias("cur"), F.col("step").alias("prefix"), F.concat("visited", F.array("dst")).alias("visited"))
+    return reduce(DataFrame.unionByName, out)
 
 
-def sequence(graph: Graph, root: str, *, depth: int = 32) -> DataFrame:
+def sequence(graph: Graph, root: str, *, depth: int | None = None) -> DataFrame:
     """segment, number, step, src, dst, relation, certain: segment 0 is the root's, others one a (topic, consumer).
 
     Segments follow the publishing messages; consumers of one topic follow each other by edge. What a consumer
-    publishes opens no further segment. The rounds of one scope end by themselves; depth only bounds them.
+    publishes opens no further segment. All segments grow together; without a depth until none goes on.
     """
     items = materialize(call_items(graph.edges), "items")
-    main = scope(items, root, [], depth).withColumn("segment", F.lit(0))
+    start = items.sparkSession.createDataFrame([(0, root, [])], "segment int, cur string, prefix array<int>")
+    main = materialize(scopes(items, start, depth), "messages")
     published = main.where(F.upper("relation") == "PUBLISHES").select("step", F.col("dst").alias("topic"))
     consumed = graph.edges.where(F.upper("relation") == "CONSUMED_BY").select(F.col("src").alias("topic"), F.col("dst").alias("consumer"), (F.col("certainty") != "POSSIBLE").alias("certain"))
     queue = published.join(consumed, "topic").groupBy("topic", "consumer").agg(F.min("step").alias("at"), F.min("certain").alias("certain"))
-    parts = [main]
-    # A segment a row: as many as topics that the root's own calls publish.
-    for number, row in enumerate(queue.orderBy("at", "consumer").collect(), 1):
-        head = items.sparkSession.createDataFrame([([1], row["topic"], row["consumer"], "CONSUMED_BY", row["certain"])], "step array<int>, src string, dst string, relation string, certain boolean")
-        parts.append(head.unionByName(scope(items, row["consumer"], [1], depth)).withColumn("segment", F.lit(number)))
-    messages = reduce(DataFrame.unionByName, parts)
-    return messages.withColumn("number", F.row_number().over(Window.partitionBy("segment").orderBy("step")))
+    queue = materialize(numbered(queue, [], ["at", "consumer"], "segment"), "segments")
+    first = F.array(F.lit(1))
+    heads = queue.select("segment", first.alias("step"), F.col("topic").alias("src"), F.col("consumer").alias("dst"), F.lit("CONSUMED_BY").alias("relation"), "certain")
+    below = scopes(items, queue.select("segment", F.col("consumer").alias("cur"), first.alias("prefix")), depth)
+    return numbered(main.unionByName(heads).unionByName(below), ["segment"], ["step"], "number")
 
 
 def participants(graph: Graph, messages: DataFrame, root: str) -> DataFrame:
@@ -70,4 +73,4 @@ def participants(graph: Graph, messages: DataFrame, root: str) -> DataFrame:
     first = seen.groupBy("id").agg(F.min(F.struct("segment", "number", "end")).alias("at"))
     start = graph.nodes.where(F.col("id") == root).select("id", F.struct(F.lit(-1).alias("segment"), F.lit(0).alias("number"), F.lit(0).alias("end")).alias("at"))
     both = first.unionByName(start).groupBy("id").agg(F.min("at").alias("at")).join(graph.nodes.select("id"), "id", "left_semi")
-    return both.select("id", F.row_number().over(Window.orderBy("at")).alias("place"))
+    return numbered(both, [], ["at"], "place").select("id", "place")

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.upsert import numbered
 from tessella.plans.graph import EDGE_KEY, UNLIMITED, Graph
 from tessella.session import materialize
 
@@ -49,6 +50,19 @@ def lineage_nodes(graph: Graph, target: str, depth: int = UNLIMITED) -> DataFram
     return graph.nodes.join(hops(graph, target, depth), "id")
 
 
+def node_list(nodes: DataFrame, name: str = "place") -> DataFrame:
+    """Lineage nodes with their place by hop, then label in the order of languages, then id."""
+    keyed = nodes.withColumn("_label", F.collate(F.coalesce("label", "id"), "UNICODE"))
+    return numbered(keyed, [], ["hop", "_label", "id"], name).drop("_label")
+
+
+def edge_list(edges: DataFrame, nodes: DataFrame, name: str = "place") -> DataFrame:
+    """Edges with their place by the label of the node they leave, in the order of languages, then by their ends."""
+    named = edges.join(nodes.select(F.col("id").alias("src"), F.col("label").alias("_from")), "src", "left")
+    keyed = named.withColumn("_from", F.collate(F.coalesce("_from", "src"), "UNICODE"))
+    return numbered(keyed, [], ["_from", "src", "dst", "relation"], name).drop("_from")
+
+
 def lineage_edges(graph: Graph, target: str, depth: int = UNLIMITED) -> DataFrame:
     """src, dst, relation of the edges that some simple walk from the target takes.
 

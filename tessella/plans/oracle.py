@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessella.plans.projections import with_clauses
 from tessella.plans.queries import CUSTOMER, EVENT, REGION
+from tessella.plans.source_oracle import SOURCE_SQL
 
 
 def _walk(name: str, target: str, direction: str, depth: int) -> str:
@@ -43,8 +44,6 @@ _LABEL_SCORE = "(len({0}) + list_sum(list_transform({0}, lambda s: (CASE WHEN co
 
 
 _RANKED = f"{_SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY score DESC, len(path) DESC, ord) AS place FROM scored)"
-_PAGE_LINKS = """WITH m AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)?', 1) AS module FROM pages), l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS href FROM pages),
-    resolved AS (SELECT page_id, href, coalesce((SELECT module FROM m WHERE module = href), (SELECT min(module) FROM m WHERE '/' || split_part(module, '/', 2) = href AND starts_with(module, href || '/'))) AS module FROM l)"""
 
 
 def _traces(depth: int) -> str:
@@ -99,11 +98,10 @@ ORACLE_SQL = {
     "gr11_sequence": f"{_SEQUENCE} SELECT array_to_string(step, '.') AS step, src, dst, relation, certain, row_number() OVER (ORDER BY step) AS number FROM scope",
     "gr11_async_segments": f"""{_SEQUENCE}, queue AS (SELECT s.dst AS src, e.dst, min(s.step) AS first FROM scope AS s JOIN edges AS e ON e.src = s.dst AND e.relation = 'CONSUMED_BY' WHERE s.relation = 'PUBLISHES' GROUP BY s.dst, e.dst)
         SELECT src, dst, row_number() OVER (ORDER BY first, dst) AS segment, CAST(1 AS BIGINT) AS number FROM queue""",
-    "gr13_best_path_through": f"{_EVENTS} SELECT id, CAST(max(len(path)) AS BIGINT) AS longest, count(*) AS paths FROM (SELECT path, unnest(path) AS id FROM ends) GROUP BY id",
     "agg01_evidence_union": """WITH f AS (SELECT user_id, event_type, min(event_id) AS seq FROM events GROUP BY user_id, event_type)
         SELECT user_id, arg_min(event_type, seq) AS first_type, string_agg(event_type, ',' ORDER BY seq) AS evidence FROM f GROUP BY user_id""",
-    "agg02_edge_upsert": """SELECT src, dst, 'CALLS' AS relation, count(*) AS n FROM (SELECT a.event_type AS src, b.event_type AS dst FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) AS a
-        JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) AS b ON a.user_id = b.user_id AND b.r = a.r + 1) GROUP BY src, dst""",
+    "agg02_edge_upsert": """WITH d AS (SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, min(event_id) AS seq FROM events GROUP BY ALL)
+        SELECT user_id AS src, event_type AS dst, min(seq) AS first_event, string_agg(day, ',' ORDER BY seq) AS evidence FROM d GROUP BY user_id, event_type""",
     "agg03_summary": "SELECT lang AS kind, CAST(NULL AS VARCHAR) AS file, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT NULL, source, count(*) FROM documents GROUP BY source UNION ALL SELECT NULL, NULL, count(*) FROM documents",
     "agg05_legend": f"""{_services_only()} SELECT kind, count(*) AS n, CAST(CASE kind WHEN 'http_endpoint' THEN 1 WHEN 'database_table' THEN 2 WHEN 'event_topic' THEN 3 WHEN 'method' THEN 7 WHEN 'function' THEN 8 ELSE 9 END AS BIGINT) AS place FROM nodes GROUP BY kind""",
     "agg06_stats": f"{_SERVICES} SELECT (SELECT count(*) FROM hop) AS node_count, (SELECT count(*) FROM taken) AS edge_count, (SELECT CAST(max(abs(hop)) AS BIGINT) FROM hop) AS max_hop",
@@ -112,7 +110,7 @@ ORACLE_SQL = {
     "win02_items": f"WITH RECURSIVE {with_clauses('services')}, {_ITEMS.format(CUSTOMER)} SELECT src, item, dst, relation, certain FROM items",
     "jn24_callers": f"WITH {with_clauses('transitions')} SELECT src, dst, relation, src AS label, 'src/' || src || '.ts' AS file FROM edges WHERE dst = '{EVENT}'",
     "jn24_callees": f"{_services_only()} SELECT e.src, e.dst, e.relation, n.label, n.kind, n.file FROM (SELECT * FROM edges WHERE src = '{CUSTOMER}' ORDER BY dst, relation LIMIT 50) AS e LEFT JOIN nodes AS n ON n.id = e.dst",
-    "jn25_provenance": f"{_services_only()} SELECT coalesce(a.label, src) AS from_name, coalesce(b.label, dst) AS to_name, relation, certainty FROM edges LEFT JOIN nodes AS a ON a.id = src LEFT JOIN nodes AS b ON b.id = dst",
+    "jn25_provenance": f"{_services_only()} SELECT coalesce(a.label, src) AS from_name, coalesce(b.label, dst) AS to_name, relation, certainty, CAST(NULL AS VARCHAR) AS derivation, edges.line IS NOT NULL AS proven, CAST(1 AS INT) AS confidence FROM edges LEFT JOIN nodes AS a ON a.id = src LEFT JOIN nodes AS b ON b.id = dst",
     "flt01_search": f"{_services_only()} SELECT id, label, file FROM nodes WHERE lower(label) LIKE '%handle1%' ORDER BY id LIMIT 30",
     "flt02_node": f"{_services_only()} SELECT id, label, kind, file FROM nodes WHERE id = '{CUSTOMER}'",
     "flt05_concern": f"""{_SERVICES}, w AS (SELECT * FROM taken WHERE relation = 'WRITES'), o AS (SELECT DISTINCT src AS id FROM w JOIN (SELECT DISTINCT dst AS x FROM taken WHERE src = '{CUSTOMER}') ON x = src)
@@ -142,9 +140,13 @@ ORACLE_SQL = {
         c AS (SELECT (SELECT count(*) FROM scope) AS a, (SELECT count(*) FROM q) AS b) SELECT a + b AS n, a + 2 * b AS last, a + b AS n_rows FROM c""",
     "win06_lanes": f"WITH {with_clauses('transitions')} SELECT src, dst, relation, row_number() OVER (PARTITION BY src ORDER BY length(dst), dst, relation) - 1 AS lane FROM edges",
     "jn26_topic_flows": f"{_services_only()} SELECT a.dst AS topic, b.dst AS consumer, count(*) AS n FROM edges AS a JOIN edges AS b ON a.dst = b.src WHERE a.relation = 'PUBLISHES' AND b.relation = 'CONSUMED_BY' GROUP BY a.dst, b.dst",
-    "jn01_page_imports": f"{_PAGE_LINKS} SELECT page_id, href, module FROM resolved WHERE module IS NOT NULL",
-    "jn12_unresolved": f"{_PAGE_LINKS} SELECT page_id, count(*) AS n FROM resolved WHERE module IS NULL GROUP BY page_id",
     "flt03_noise": f"""{_services_only()} SELECT id, false AS noise, CASE WHEN file IS NULL THEN 'symbol' ELSE 'module' END AS guess FROM nodes""",
     "prj03_urls": f"{_services_only()} SELECT id, 'vscode://file//work/tree/' || file || coalesce(':' || CAST(line AS VARCHAR), '') AS url, '#' || lpad(lower(to_hex(line)), 6, '0') AS colour FROM nodes",
     "prj04_hops": f"{_SERVICES} SELECT id, CASE WHEN hop = 0 THEN '0 (target)' WHEN hop > 0 THEN '+' || CAST(hop AS VARCHAR) ELSE CAST(hop AS VARCHAR) END AS hop FROM hop",
-}
+    "sc07_uri": "SELECT doc_id, md5(replace(replace(replace(replace(replace(url_encode(text), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*')) AS digest, url_decode(url_encode(text)) = text AS same FROM documents",
+    "srt01_node_order": """WITH c AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN '_' || c_mktsegment ELSE c_mktsegment END || '#' || c_custkey AS name FROM customer)
+        SELECT c_custkey, name, row_number() OVER (ORDER BY icu_sort_key(name, 'und')) AS place FROM c""",
+    "srt03_node_list": f"{_SERVICES} SELECT id, row_number() OVER (ORDER BY hop, icu_sort_key(label, 'und'), id) AS place FROM hop JOIN nodes USING (id)",
+    "srt10_edge_list": f"{_SERVICES} SELECT src, dst, relation, row_number() OVER (ORDER BY icu_sort_key(label, 'und'), src, dst, relation) AS place FROM taken JOIN nodes ON id = src",
+    "gr18_step_texts": f"{_SEQUENCE} SELECT src, dst, relation, CASE WHEN certain THEN '' ELSE '~' END || array_to_string(step, '.') AS step FROM scope",
+} | SOURCE_SQL

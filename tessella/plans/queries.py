@@ -9,6 +9,7 @@ from tessella.functions import labels as L
 from tessella.operators import filters, neighbours, paths, ranking, sequence, surfaces, traces, traversal, upsert
 from tessella.plans.graph import Graph
 from tessella.plans.projections import load
+from tessella.plans.source_queries import SOURCE_QUERIES
 
 CUSTOMER, EVENT, REGION = "method:customer#C.7", "view", "region:1"
 
@@ -26,12 +27,17 @@ def _lineage(spark: SparkSession, sf_dir: str, depth: int = 2) -> tuple[Graph, D
     return graph, traversal.lineage_nodes(graph, CUSTOMER, depth), traversal.lineage_edges(graph, CUSTOMER, depth)
 
 
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the same lineage alone."""
+    return traversal.lineage_nodes(_services(spark, sf_dir).stored(), CUSTOMER, 2)
+
+
 def _text(path: str):
     return F.array_join(path, " > ")
 
 
 def gr01_lineage_nodes(spark, sf_dir):
-    return _lineage(spark, sf_dir)[1].select("id", "label", "kind", "hop")
+    return _near(spark, sf_dir).select("id", "label", "kind", "hop")
 
 
 def gr01_lineage_edges(spark, sf_dir):
@@ -123,20 +129,15 @@ def gr10_endpoint_labels(spark, sf_dir):
 
 
 def gr11_sequence(spark, sf_dir):
-    got = sequence.sequence(_services(spark, sf_dir).stored(), CUSTOMER, depth=4).where("segment = 0")
+    got = sequence.sequence(_services(spark, sf_dir).stored(), CUSTOMER).where("segment = 0")
     return got.select(F.array_join(F.col("step").cast("array<string>"), ".").alias("step"), "src", "dst", "relation", "certain", F.col("number").cast("long").alias("number"))
 
 
 def gr11_async_segments(spark, sf_dir):
-    got = sequence.sequence(_services(spark, sf_dir).stored(), CUSTOMER, depth=4).where("segment > 0")
+    got = sequence.sequence(_services(spark, sf_dir).stored(), CUSTOMER).where("segment > 0")
     return got.select("src", "dst", F.col("segment").cast("long").alias("segment"), F.col("number").cast("long").alias("number"))
 
 
-def gr13_best_path_through(spark, sf_dir):
-    paths = traversal.lineage_paths(_transitions(spark, sf_dir), EVENT)
-    return paths.select("direction", "path", F.explode("path").alias("id")).groupBy("id").agg(F.max(F.size("path")).cast("long").alias("longest"), F.count("*").alias("paths"))
-
-
 def agg01_evidence_union(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     rows = events.select(F.col("user_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("first_type"), F.array("event_type").alias("evidence"))
@@ -144,7 +145,10 @@ def agg01_evidence_union(spark, sf_dir):
 
 
 def agg02_edge_upsert(spark, sf_dir):
-    return load(spark, sf_dir, "transitions").edges.select("src", "dst", "relation", F.col("line").cast("long").alias("n"))
+    """Events as evidence of edges from users to types: the first one's place, all distinct days in order."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = events.select(F.col("user_id").alias("src"), F.col("event_type").alias("dst"), F.col("event_id").alias("seq"), F.col("event_id").alias("first_event"), F.array(F.date_format("ts", "yyyy-MM-dd")).alias("evidence"))
+    return upsert.upsert(rows, ["src", "dst"], "seq", "evidence").select("src", "dst", "first_event", F.array_join("evidence", ",").alias("evidence"))
 
 
 def agg03_summary(spark, sf_dir):
@@ -307,22 +311,31 @@ def jn26_topic_flows(spark, sf_dir):
     return paths.topic_flows(_services(spark, sf_dir).edges).groupBy("topic", "consumer").agg(F.count("*").alias("n"))
 
 
-def jn01_page_imports(spark, sf_dir):
-    """Links of pages as import paths: the page at that path, else the first page below it."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    path = F.regexp_extract("url", r"^[a-z]+://[^/]*(/[^?#]*)?", 1)
-    modules = pages.select(path.alias("module")).where("module <> ''").distinct()
-    links = pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)"'), 1))).alias("href"))
-    exact = links.join(modules, links["href"] == modules["module"]).select("page_id", "href", "module", F.lit(0).alias("pos"))
-    first = modules.select(F.concat(F.lit("/"), F.split("module", "/")[1]).alias("href"), "module").where("module LIKE concat(href, '/%')").groupBy("href").agg(F.min("module").alias("module"))
-    below = links.join(first, "href").select("page_id", "href", "module", F.lit(1).alias("pos"))
-    return exact.unionByName(below).groupBy("page_id", "href").agg(F.min_by("module", "pos").alias("module"))
+def sc07_uri(spark, sf_dir):
+    """Whole texts as URI components and back."""
+    coded = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", L.uri_component(F.col("text")).alias("coded"))
+    return coded.select("doc_id", F.md5("coded").alias("digest"), (L.uri_decoded(F.col("coded")) == F.col("text")).alias("same"))
 
 
-def jn12_unresolved(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    links = pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)"'), 1))).alias("href"))
-    return links.join(jn01_page_imports(spark, sf_dir).select("page_id", "href"), ["page_id", "href"], "left_anti").groupBy("page_id").agg(F.count("*").alias("n"))
+def srt01_node_order(spark, sf_dir):
+    """Customers' names in the order of languages."""
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.concat(F.when(F.col("c_custkey") % 3 == 0, F.lower("c_mktsegment")).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("_"), "c_mktsegment")).otherwise(F.col("c_mktsegment")), F.lit("#"), F.col("c_custkey").cast("string")).alias("name"))
+    keyed = names.withColumn("key", F.collate("name", "UNICODE"))
+    return upsert.numbered(keyed, [], ["key"], "place").select("c_custkey", "name", F.col("place").cast("long").alias("place"))
+
+
+def srt03_node_list(spark, sf_dir):
+    return traversal.node_list(_near(spark, sf_dir)).select("id", F.col("place").cast("long").alias("place"))
+
+
+def srt10_edge_list(spark, sf_dir):
+    graph, nodes, edges = _lineage(spark, sf_dir)
+    return traversal.edge_list(edges, nodes).select("src", "dst", "relation", F.col("place").cast("long").alias("place"))
+
+
+def gr18_step_texts(spark, sf_dir):
+    got = sequence.sequence(_services(spark, sf_dir).stored(), CUSTOMER).where("segment = 0")
+    return got.select("src", "dst", "relation", L.step_text(F.col("step"), F.col("certain")).alias("step"))
 
 
 def flt03_noise(spark, sf_dir):
@@ -336,7 +349,7 @@ def prj03_urls(spark, sf_dir):
 
 
 def prj04_hops(spark, sf_dir):
-    return _lineage(spark, sf_dir)[1].select("id", L.hop_label(F.col("hop")).alias("hop"))
+    return _near(spark, sf_dir).select("id", L.hop_label(F.col("hop")).alias("hop"))
 
 
-QUERIES = {name: f for name, f in list(globals().items()) if name[:2] in ("gr", "ag", "wi", "jn", "fl", "sr", "sc", "pr") and callable(f) and name[-1] != "_" and getattr(f, "__module__", "") == __name__}
+QUERIES = SOURCE_QUERIES | {name: f for name, f in list(globals().items()) if name[:2] in ("gr", "ag", "wi", "jn", "fl", "sr", "sc", "pr") and callable(f) and name[-1] != "_" and getattr(f, "__module__", "") == __name__}

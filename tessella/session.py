@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,10 +22,16 @@ def build_session(app: str = "tessella", master: str | None = None, shuffle_part
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that setting is missing."""
+    """The folder named in spark.checkpoint.dir. Only a local session without one gets a folder of its own, until it ends."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessella-ckpt-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named:
+            if not context.master.startswith("local"):
+                raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its executors share")
+            named = tempfile.mkdtemp(prefix="tessella-ckpt-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
