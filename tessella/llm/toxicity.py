@@ -59,8 +59,16 @@ def hash_of(words: list[str]) -> np.ndarray:
 
 
 def segments(at: np.ndarray, scores: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first word, end, score) of a text with scored words at the given places."""
-    stack: list[tuple[float, float, int, int]] = []
+    """All maximal-scoring segments (first word, end, score) of a text with scored words at the given places.
+
+    Every word is looked at once and every segment joins a larger one at most once: a segment knows the nearest one
+    before it that starts lower (`back`), so the walk over starts that are not lower is never made twice.
+    """
+    lefts: list[float] = []
+    rights: list[float] = []
+    firsts: list[int] = []
+    ends: list[int] = []
+    back: list[int] = []
     total, last = 0.0, 0
     for i, s in zip(at.tolist(), scores.tolist(), strict=True):
         total -= drift * (i - last)
@@ -68,19 +76,23 @@ def segments(at: np.ndarray, scores: np.ndarray, drift: float) -> list[tuple[int
         left, total = total, total + s
         if s <= 0:
             continue
-        first, right = i, total
+        first, j = i, len(lefts) - 1
         while True:
-            j = len(stack) - 1
-            hidden = []
-            while j >= 0 and stack[j][0] >= left:
-                hidden.append(j)
-                j -= 1
-            if j < 0 or stack[j][1] >= right:
+            while j >= 0 and lefts[j] >= left:
+                j = back[j]
+            if j < 0 or rights[j] >= total:
                 break
-            left, first = stack[j][0], stack[j][2]
-            del stack[j:]
-        stack.append((left, right, first, i + 1))
-    return [(a, b, right - left) for left, right, a, b in stack]
+            # The segment reaches down to that start and takes all from there on.
+            left, first = lefts[j], firsts[j]
+            nearest = back[j]
+            del lefts[j:], rights[j:], firsts[j:], ends[j:], back[j:]
+            j = nearest
+        lefts.append(left)
+        rights.append(total)
+        firsts.append(first)
+        ends.append(i + 1)
+        back.append(j)
+    return [(a, b, right - left) for left, right, a, b in zip(lefts, rights, firsts, ends, strict=True)]
 
 
 def log_odds(words: DataFrame, n_toxic: int, n_clean: int, *, least_z: float, least_score: float, prior: float) -> pa.Table:

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -31,6 +32,24 @@ def test_segments_match_the_definition():
         assert np.allclose([s for *_, s in got], [s for *_, s in expected])
 
 
+def test_segments_of_many_words_in_linear_time():
+    for at, scores in ((np.arange(200_000) * 3, np.full(200_000, 1.2)), (np.arange(200_000) * 2, np.linspace(4, 0.6, 200_000)), (np.cumsum(np.random.default_rng(1).integers(1, 9, 200_000)), np.random.default_rng(2).uniform(0.5, 4, 200_000))):
+        began = time.process_time()
+        assert segments(at, scores, 0.5)
+        assert time.process_time() - began < 2
+
+
+def test_significant_segments_are_rare_by_chance():
+    rng = np.random.default_rng(6)
+    scores, shares, drift, n = np.array([1.6, 2.4, 3.5]), np.array([0.02, 0.008, 0.002]), 0.5, 500
+    scale, hits = decay(scores, shares, drift), 0
+    for _ in range(600):
+        drawn = rng.choice(4, n, p=[*shares, 1 - shares.sum()])
+        at = np.flatnonzero(drawn < 3)
+        hits += any(n * np.exp(-scale * s) <= 0.05 for *_, s in segments(at, scores[drawn[at]], drift))
+    assert hits <= 0.05 * 600 * 1.5
+
+
 def tables(spark, extra=()):
     rng = random.Random(1)
     plain = [f"w{i}" for i in range(300)]
