@@ -1,7 +1,7 @@
 """Main text of web pages, by structure and nearest-URL page differencing.
 
 A page is cut into text blocks. Menus, headers, footers, sidebars, notices, adverts, forms and comments that say so by
-element, class, id or role are left out. Where the page marks its article (article or main), its lines are the text's.
+element, role, or a class or id made of such words only are left out; a form around the page's text is none. Where the page marks its article (article or main), its lines are the text's.
 Every page is compared with its nearest neighbour that is no copy of it: pages sorted by host and URL path stand beside
 those of the most similar path, the text lines of both are aligned by longest common subsequence, and shared lines are
 deleted as the site's furniture. Pages of equal lines are passed over; up to REACH distinct pages on either side are
@@ -19,6 +19,7 @@ import html as entities
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import zip_longest
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.textbits import tidy
+from tessella.llm.textbits import modest_batches, tidy
 from tessella.session import materialize
 
 #: Elements whose content is no text, whether closed or not, and those only if closed.
@@ -44,9 +45,12 @@ _BREAKS = frozenset("address article aside blockquote body br center dd details
 _HOLDS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figure footer form head header html li main menu nav ol section table tbody td tfoot th thead tr ul".split())
 _OUT = frozenset("nav footer aside form menu dialog".split())
 _CLOSES_ITSELF = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-_COMMENTS = r"comments?|disqus\w*|respond|repl(?:y|ies)"
-_HINTS = re.compile(rf"(?:^|[\s_-])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|cookies?|consent|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|shar(?:e|ing)|social|related|recommend\w*|widgets?|toolbar|pag(?:er|ination)|{_COMMENTS})(?=$|[\s_-])", re.I)
-_COMMENT_HINTS = re.compile(rf"(?:^|[\s_-])(?:{_COMMENTS})(?=$|[\s_-])", re.I)
+#: Words that say furniture in a class or id, those of them that say reader comments, and words that say nothing: fixed
+#: values. A name counts if it is made of these only, so "ad-box" does and "has-sidebar" or "social-history" do not.
+_COMMENTS = re.compile(r"comments?|disqus\w*|respond|repl(?:y|ies)")
+_HINTS = re.compile(rf"ads?|advert\w*|banners?|sponsor\w*|promo\w*|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|cookies?|consent|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|shar(?:e|ing)|social|related|recommend\w*|widgets?|toolbar|pag(?:er|ination)|{_COMMENTS.pattern}")
+_NEUTRAL = re.compile(r"box|boxes|block|bar|wrap|wrapper|container|holder|list|links?|buttons?|icons?|left|right|top|bottom|upper|lower|main|primary|secondary|site|page|global|section|area|zone|slot|unit|inner|outer|items?|group|panel|row|col|column|content|post|posts|article|articles|stor(?:y|ies)|news|entry|user|reader|form|media|this|mobile|desktop|sticky|fixed|first|last|small|large|header|\d+(?:x\d+)?")
+_HEADER, _TITLED = re.compile("header"), re.compile(r"posts?|articles?|stor(?:y|ies)|entry|content|section")
 _ROLES = frozenset("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar".split())
 
 
@@ -54,15 +58,36 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)} if raw and not raw.isspace() else {}
 
 
+@lru_cache(maxsize=10_000)
+def _made_of(name: str, what: re.Pattern) -> bool:
+    """Whether a class or id is made of such words, at least one, and neutral ones; a header of a text is none."""
+    words = [w for w in re.split("[-_]+", name.lower()) if w]
+    if what is _HEADER and any(_TITLED.fullmatch(w) for w in words):
+        return False
+    return any(what.fullmatch(w) for w in words) and all(what.fullmatch(w) or _NEUTRAL.fullmatch(w) for w in words)
+
+
+def _says(attrs: dict[str, str], what: re.Pattern) -> bool:
+    return any(_made_of(name, what) for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split())
+
+
+def _holds_text(page: str, start: int) -> bool:
+    """Whether a form that starts there holds the page's text: an article, a heading or several paragraphs."""
+    closed = re.compile("</form", re.I).search(page, start)
+    inner = page[start : closed.start() if closed else len(page)]
+    return bool(re.search(r"<(?:article|main|h1)\b", inner, re.I)) or len(re.findall(r"<p\b", inner, re.I)) > 2
+
+
 def _left_out(name: str, attrs: dict[str, str], in_article: bool) -> bool:
-    said = f"{attrs.get('class', '')} {attrs.get('id', '')}"
     if name in ("article", "main"):
-        return bool(_COMMENT_HINTS.search(said))
+        return _says(attrs, _COMMENTS)
     if name in ("body", "html"):
         return False
     if name in _OUT or name == "header" and not in_article or "hidden" in attrs or attrs.get("role", "").lower() in _ROLES:
         return True
-    return bool(said.strip()) and bool(_HINTS.search(said) or not in_article and re.search(r"(?:^|[\s_-])header(?=$|[\s_-])", said, re.I))
+    if "display:none" in attrs.get("style", "").replace(" ", "").lower():
+        return True
+    return ("class" in attrs or "id" in attrs) and (_says(attrs, _HINTS) or not in_article and _says(attrs, _HEADER))
 
 
 def blocks(page: str) -> list[tuple[str, bool]]:
@@ -106,8 +131,8 @@ def blocks(page: str) -> list[tuple[str, bool]]:
             if name in _CLOSES_ITSELF:
                 while stack and stack[-1][0] in _CLOSES_ITSELF[name]:
                     stack.pop()
-            gone = _left_out(name, attrs, inside)
-            comments = gone and bool(_COMMENT_HINTS.search(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+            gone = _left_out(name, attrs, inside) and not (name == "form" and _holds_text(page, m.end()))
+            comments = gone and _says(attrs, _COMMENTS)
             if stack and stack[-1][1]:
                 # An article ends an advert or the like that was never closed, but not comments or a left-out element.
                 freed = name in ("article", "main") and not gone and not any(x[3] or x[0] in _OUT for x in stack)
@@ -317,6 +342,7 @@ def _furniture(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """Rows page_id, url, text: the main text of every page, its blocks joined by newlines."""
+    modest_batches(pages.sparkSession)
     own = pages.select("page_id", "url", "html", F.coalesce(F.col("page_id").cast("bigint"), F.lit(-(2**63))).alias("id"), F.xxhash64("html", "url").alias("tag"))
     deleted = _furniture(own.select("id", "tag", "url", "html")).withColumnsRenamed({"id": "found_id", "tag": "found_tag"})
     joined = own.join(deleted, (F.col("id") == F.col("found_id")) & (F.col("tag") == F.col("found_tag")), "left")

@@ -31,6 +31,34 @@ def test_odd_markup():
     assert text("<" * 5000) == ["<" * 5000] and len(text("<p>w</p>" * 20000)) == 20000
 
 
+def test_names_that_are_no_furniture():
+    text = lambda page: [t for t, _ in blocks(page)]
+    assert text('<div class="wrapper has-sidebar"><p>Story text</p></div>') == ["Story text"]
+    assert text('<article><div class="content-with-sidebar"><p>Story</p></div></article>') == ["Story"]
+    assert text('<main><section id="social-history"><p>History</p></section></main>') == ["History"]
+    assert text('<article class="post has-comments"><p>A</p><div class="comment-list"><p>c</p></div></article>') == ["A"]
+    assert text('<div class="entry-header"><h1>Title</h1></div><div id="site-header">Name</div><p>x</p>') == ["Title", "x"]
+    assert text('<div class="ad-box">a</div><div class="cookie_notice">b</div><ul id="share-buttons-2"><li>c</ul><p style="display: none">d</p><p>x</p>') == ["x"]
+
+
+def test_forms_around_the_text():
+    text = lambda page: [t for t, _ in blocks(page)]
+    assert text("<body><form id=aspnet><h1>T</h1><p>Story</p><input><button>Go</button></form><form><p>Your mail</p></form></body>") == ["T", "Story"]
+
+
+def test_menu_lines_of_short_pages_go(spark):
+    menu = "".join(f"<div>Menu line {i} of the site</div>" for i in range(10))
+    rows = [(i, f"http://h.example/{i}", f"<html><body>{menu}<div>Item {i}</div></body></html>") for i in range(6)]
+    assert run(spark, rows) == {i: f"Item {i}" for i in range(6)}
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 20_000 + "<p>down here</p>" + "</div>" * 20_000
+    long = "<main>" + "".join(f"<p>Line {i}</p>" for i in range(30_000)) + "</main>"
+    got = run(spark, [(1, "http://a.example/1", deep), (2, "http://a.example/2", long), (3, "http://b.example/2", long), (None, None, "<p>no id</p>"), (None, None, "<p>no id</p>")])
+    assert got[1] == "down here" and got[2] == got[3] == "\n".join(f"Line {i}" for i in range(30_000)) and got[None] == "no id"
+
+
 def test_differencing(spark):
     page = lambda body: f"<html><body><div>Site name</div><div>Top stories</div>{body}<div>Contact us</div></body></html>"
     rows = [(i, f"http://h.example/news/{i}", page(f"<div>Story {i} is a longer text of its own, all {i * 7919} words.</div>")) for i in range(10, 40)]
