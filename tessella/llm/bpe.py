@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.textbits import ragged, slices, spread, tidy
+from tessella.llm.textbits import modest_batches, ragged, slices, spread, tidy
 
 #: The pre-tokenizer's pattern: fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -154,6 +154,7 @@ def read_definition(path: str) -> str:
 
 def encode_texts(docs: DataFrame, definition: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", decode: bool = False) -> DataFrame:
     """Rows doc (a struct of the columns in keep), ids array<int> and, if asked for, decoded, the text of these ids."""
+    modest_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(definition)
     df = docs.select(F.struct(*keep).alias("doc"), F.col(text).alias("text"))
 
@@ -176,6 +177,7 @@ def encode_texts(docs: DataFrame, definition: str, *, keep: tuple[str, ...] = ("
 
 def decode_ids(encoded: DataFrame, definition: str) -> DataFrame:
     """Add decoded, the text of stored ids."""
+    modest_batches(encoded.sparkSession)
     sent = encoded.sparkSession.sparkContext.broadcast(definition)
 
     @tidy
