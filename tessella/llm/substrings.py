@@ -4,8 +4,9 @@ Consecutive windows of k words that share their minimiser (the least hash of m w
 one packed string to the minimiser's bucket, so equal windows always meet. A bucket sorts its windows and counts
 them; windows found twice or more go back to their documents, whose covered words are removed.
 
-Super-k-mers that a task holds twice are known to repeat at once: their places are settled there, and one copy
-without places goes on, so a passage in a third of all rows reaches its bucket once or twice a task. Windows are
+Super-k-mers that a task meets twice are known to repeat at once: their places are settled there, and one copy
+without places goes on, so a passage in a third of all rows reaches its bucket once or twice a task. A task remembers
+what it has sent in a table of fixed size; what the table has lost is sent again. Windows are
 told apart by 128 bits of two independent hashes.
 
 Defined cases: a null or empty text has no words, nothing is removed and the kept text is empty; a text shorter
@@ -34,6 +35,8 @@ NO_ID = -(2**63)
 MINIMISER = 4
 #: Bytes of text that a task works on at once, and of packed strings that a bucket should get.
 CHUNK, BUCKET = 4_500_000, 4_500_000
+#: Bits of the places in which a task remembers super-k-mers.
+PLACES = 18
 
 
 def _table(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +79,23 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return (*out, raw[at:])
 
 
-def _super_kmers(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], k: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+class Sent:
+    """The super-k-mers that a task has sent, by two hashes: 1 once with its places, 2 also without places."""
+
+    def __init__(self) -> None:
+        self.one, self.two = np.zeros(1 << PLACES, np.uint64), np.zeros(1 << PLACES, np.uint64)
+        self.state = np.zeros(1 << PLACES, np.int8)
+
+    def meet(self, one: np.ndarray, two: np.ndarray, twice: np.ndarray) -> np.ndarray:
+        """How distinct super-k-mers were sent before (0: not), and remember them; twice: which stand twice here."""
+        at = (one >> np.uint64(64 - PLACES)).view(np.int64)
+        before = np.where((self.one[at] == one) & (self.two[at] == two), self.state[at], 0)
+        # Of several in one place the last stays.
+        self.one[at], self.two[at], self.state[at] = one, two, np.where(twice | (before > 0), 2, 1)
+        return before
+
+
+def _super_kmers(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], k: int, buckets: int, sent: Sent) -> Iterator[tuple[int, int, bytes]]:
     """Rows (bucket, kind, packed) of one chunk: kind 0 has super-k-mers, kind 1 settled verdicts."""
     words = [t.split() for t in texts]
     long = [i for i, w in enumerate(words) if len(w) >= k]
@@ -95,14 +114,20 @@ def _super_kmers(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], k: int,
     first, n = at[new], np.diff(np.append(new, len(at)))
     bucket = (value[new] % np.uint64(buckets)).astype(np.int64)
     end = first + n + k - 1
-    order, group = _twice(one.ranges(first, end), two.ranges(first, end))
+    all_one, all_two = one.ranges(first, end), two.ranges(first, end)
+    order, group = _twice(all_one, all_two)
     copies = np.bincount(group)
     leader = order[np.concatenate([[True], group[1:] != group[:-1]])]
-    settled = order[copies[group] > 1]
+    before = sent.meet(all_one[leader], all_two[leader], copies > 1)
+    twice = (copies > 1) | (before > 0)
+    settled = order[twice[group]]
     doc, place = of[first], first - (np.cumsum(counts) - counts)[np.searchsorted(np.cumsum(counts), first, side="right")]
     if len(settled):
         yield int(bucket[settled[0]]), 1, _pack(ids[doc[settled]], tags[doc[settled]], place[settled], n[settled], b"")
-    twice = copies > 1
+    go = before < 2
+    leader, twice = leader[go], twice[go]
+    if not len(leader):
+        return
     order = np.argsort(bucket[leader], kind="stable")
     leader, twice = leader[order], twice[order]
     cut = np.flatnonzero(np.diff(bucket[leader])) + 1
@@ -154,10 +179,11 @@ def repeated_windows(docs: DataFrame, k: int) -> DataFrame:
 
     @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = Sent()
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, b in slices(batch.column(2), CHUNK):
-                rows = list(_super_kmers(ids[a:b], tags[a:b], binaries(batch.column(2).slice(a, b - a)), k, buckets))
+                rows = list(_super_kmers(ids[a:b], tags[a:b], binaries(batch.column(2).slice(a, b - a)), k, buckets, sent))
                 if rows:
                     bucket, kind, packed = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int8()), pa.array(packed, pa.binary())], ["bucket", "kind", "packed"])

@@ -1,8 +1,12 @@
 import hashlib
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
+
+from tessella.llm import substrings
 from tessella.llm.substrings import remove_repeated
 
 SCHEMA = "doc_id bigint, text string, id string, bucket string"
@@ -50,5 +54,32 @@ def test_null_ids_of_equal_32_bit_hashes_stay_apart(spark):
     assert run(spark, rows, k=6) == expected(rows, 6)
 
 
+@pytest.mark.parametrize("places", [18, 2])
+def test_chunks_of_a_task_share_what_was_sent(places, monkeypatch):
+    monkeypatch.setattr(substrings, "PLACES", places)
+    rng = random.Random(7)
+    prose = lambda n: " ".join(rng.choices([f"w{i}" for i in range(40)], k=n))
+    shared, k, buckets = [prose(n) for n in (12, 20, 50)], 8, 5
+    texts = [" ".join([prose(rng.randint(0, 30)), rng.choice(shared), prose(rng.randint(0, 30)), rng.choice([*shared, ""])]) for _ in range(120)]
+    found, parts, n_sent = defaultdict(set), defaultdict(list), 0
+    for task in range(2):
+        sent = substrings.Sent()
+        for a in range(60 * task, 60 * (task + 1), 6):
+            ids = np.arange(a, a + 6)
+            for bucket, kind, packed in substrings._super_kmers(ids, ids, [t.encode() for t in texts[a : a + 6]], k, buckets, sent):
+                if kind:
+                    for i, _, first, n, *_ in zip(*substrings._unpack(packed)[:4], strict=True):
+                        found[int(i)] |= set(range(first, first + n + k - 1))
+                else:
+                    parts[bucket].append(packed)
+                    n_sent += len(substrings._unpack(packed)[0])
+    for packed in parts.values():
+        for ids, _, first, n in substrings._count(packed, k):
+            for i, f, m in zip(ids.tolist(), first.tolist(), n.tolist(), strict=True):
+                found[i] |= set(range(f, f + m + k - 1))
+    assert [len(found[i]) for i in range(120)] == [n for _, n, _ in brute(texts, k)]
+    assert places == 2 or n_sent < 2400
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
