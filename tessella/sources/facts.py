@@ -24,7 +24,7 @@ FACT = f"struct<seq:int,kind:string,line:int,column:int,end_line:int,end_column:
 EXPR = f"struct<expr:string,kind:string,name:string,base:string,optional:boolean,value:string,operator:string,left:string,right:string,owner:{SYMBOL},text:string>"
 PARSED = f"file string, problem string, facts array<{FACT}>, exprs array<{EXPR}>, arguments array<struct<expr:string,index:int,argument:string>>, entries array<struct<expr:string,key:string,entry:string>>"
 _COMPARISONS = frozenset("=== !== == != > >= < <=".split())
-_EXPRESSIONS = frozenset("identifier this member subscript call new string object array binary arrow function_expression unary update await yield assignment ternary sequence as non_null tagged number regex true false null undefined super spread import_call".split())
+_EXPRESSIONS = frozenset("identifier this member subscript call new string object array binary arrow function_expression unary update await yield assignment ternary sequence as non_null tagged number regex true false null undefined super spread import_call markup".split())
 
 
 def symbol(kind: str, file: str, name: str, container: str | None = None) -> dict:
@@ -48,13 +48,15 @@ class Around:
 class Extractor:
     def __init__(self, file: str, text: str):
         self.file, self.text, self.places = file, text, Places(text)
+        # The grammar with types has no elements, but angle assertions.
+        self.markup = not file.lower().endswith(".ts")
         self.facts: list[dict] = []
         self.exprs: list[dict] = []
         self.arguments: list[dict] = []
         self.entries: list[dict] = []
 
     def run(self) -> None:
-        tree = parse(self.text)
+        tree = parse(self.text, markup=self.markup)
         self.walk(tree, Around(symbol("MODULE", self.file, self.file)))
 
     def name_of(self, node: Node | None) -> str | None:

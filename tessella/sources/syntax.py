@@ -1,7 +1,8 @@
 """A parser for the TypeScript and JavaScript that the engine reads: source text to a tree of nodes.
 
-It covers modules, classes, interfaces, functions, statements and expressions with types skipped over; what it cannot
-read (JSX among it) raises SyntaxProblem, and the file is skipped as a whole, so no fact is ever guessed.
+It covers modules, classes, interfaces, functions, statements and expressions with types skipped over, and markup
+(elements as expressions) where the file's grammar has it; what it cannot read raises SyntaxProblem, and the file is
+skipped as a whole, so no fact is ever guessed.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ _SPACE = re.compile(r"(?:\s|//[^\n]*|/\*.*?\*/)*", re.S)
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 _OPERAND_ENDS = {")", "]", "}"}
 _BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "await", "yield", "else", "do", "instanceof"}
+_HEADS = {"if", "while", "for", "with"}
 #: Binding strength of binary operators: fixed values.
 _BINARY = {"??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "===": 7, "!==": 7, "<": 8, ">": 8, "<=": 8, ">=": 8, "instanceof": 8, "in": 8, "<<": 9, ">>": 9, ">>>": 9, "+": 10, "-": 10, "*": 11, "/": 11, "%": 11, "**": 12}
 _ASSIGN = {"=", "+=", "-=", "*=", "/=", "%=", "**=", "<<=", ">>=", ">>>=", "&=", "|=", "^=", "&&=", "||=", "??="}
@@ -77,32 +79,130 @@ def template_end(text: str, at: int) -> tuple[int, list[tuple[int, int]]]:
     raise SyntaxProblem("a template literal does not end")
 
 
-def tokens(text: str, start: int = 0, end: int | None = None) -> list[Token]:
+_NAME = re.compile(r"[A-Za-z_$][\w$]*(?:[-:.][\w$]+)*")
+_ATTRIBUTE = re.compile(r"[A-Za-z_$][\w$]*(?:[-:][\w$]+)*")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+
+
+def markup_end(text: str, at: int, end: int) -> tuple[int, list[tuple[str, int, int]]]:
+    """End of the element that begins at `at`, and its parts in order: names, strings and holes with their ranges."""
+    parts: list[tuple[str, int, int]] = []
+    open_names: list[str] = []
+
+    def space(i: int) -> int:
+        return _SPACE.match(text, i, end).end()
+
+    def hole(i: int) -> int:
+        stop = tokens(text, i + 1, end, markup=True, hole=True)[-1].start
+        parts.append(("hole", i + 1, stop))
+        return stop + 1
+
+    def tag(i: int) -> int:
+        """Behind an opening or empty tag."""
+        i = space(i + 1)
+        name = _NAME.match(text, i, end)
+        if name:
+            parts.append(("name", i, name.end()))
+            i = name.end()
+        while True:
+            i = space(i)
+            if text.startswith("/>", i) and name:
+                return i + 2
+            if text.startswith(">", i):
+                open_names.append(name[0] if name else "")
+                return i + 1
+            if not name:
+                raise SyntaxProblem("no element")
+            if text.startswith("{", i):
+                i = hole(i)
+                continue
+            attribute = _ATTRIBUTE.match(text, i, end)
+            if not attribute:
+                raise SyntaxProblem("no attribute")
+            i = space(attribute.end())
+            if text.startswith("=", i):
+                i = space(i + 1)
+                if text.startswith("{", i):
+                    i = hole(i)
+                elif quoted := _QUOTED.match(text, i, end):
+                    parts.append(("string", i, quoted.end()))
+                    i = quoted.end()
+                else:
+                    raise SyntaxProblem("no value of an attribute")
+
+    i = tag(at)
+    while open_names:
+        i = min((k for k in (text.find("{", i, end), text.find("<", i, end)) if k >= 0), default=-1)
+        if i < 0:
+            raise SyntaxProblem("an element does not end")
+        if text[i] == "{":
+            i = hole(i)
+        elif text.startswith("/", space(i + 1)):
+            i = space(space(i + 1) + 1)
+            name = _NAME.match(text, i, end)
+            if (name[0] if name else "") != open_names.pop():
+                raise SyntaxProblem("elements end in another order")
+            if name:
+                parts.append(("name", i, name.end()))
+                i = name.end()
+            i = space(i)
+            if not text.startswith(">", i):
+                raise SyntaxProblem("an end tag does not end")
+            i += 1
+        else:
+            i = tag(i)
+    return i, parts
+
+
+def tokens(text: str, start: int = 0, end: int | None = None, *, markup: bool = False, hole: bool = False) -> list[Token]:
+    """The tokens of a range; of a hole those before the brace that ends it."""
     out: list[Token] = []
     at, end = start, len(text) if end is None else end
+    heads: list[bool] = []  # of every open parenthesis, whether it holds the condition of a statement
+    depth, after_head = 0, False
     while True:
         gap = _SPACE.match(text, at, end)
         line = "\n" in text[at : gap.end()]
         at = gap.end()
-        if at >= end:
+        if at >= end or hole and not depth and text[at] == "}":
+            if hole and at >= end:
+                raise SyntaxProblem("a hole does not end")
             out.append(Token("end", "", at, at, True))
             return out
         last = out[-1] if out else None
+        operand = last is None or last.type == "op" and (last.text not in _OPERAND_ENDS or after_head) or last.type == "id" and last.text in _BEFORE_REGEX
         if text[at] == "`":
             stop, _ = template_end(text, at)
             out.append(Token("template", text[at:stop], at, stop, line))
-        elif text[at] == "/" and (last is None or last.type == "op" and last.text not in _OPERAND_ENDS or last.type == "id" and last.text in _BEFORE_REGEX) and (m := _REGEX.match(text, at, end)):
+        elif text[at] == "/" and operand and (m := _REGEX.match(text, at, end)):
             out.append(Token("regex", m[0], at, m.end(), line))
+        elif markup and text[at] == "<" and operand and (stop := _element_end(text, at, end)):
+            out.append(Token("markup", text[at:stop], at, stop, line))
         elif m := _TOKEN.match(text, at, end):
             out.append(Token(m.lastgroup, m[0], at, m.end(), line))
         else:
             raise SyntaxProblem(f"unexpected {text[at]!r}")
-        at = out[-1].end
+        new = out[-1]
+        at, after_head = new.end, False
+        if new.type == "op":
+            depth += (new.text == "{") - (new.text == "}")
+            if new.text == "(":
+                heads.append(last is not None and last.type == "id" and last.text in _HEADS)
+            elif new.text == ")" and heads:
+                after_head = heads.pop()
+
+
+def _element_end(text: str, at: int, end: int) -> int:
+    """Where the element at this angle ends; 0 if it is none."""
+    try:
+        return markup_end(text, at, end)[0]
+    except SyntaxProblem:
+        return 0
 
 
 class Parser:
-    def __init__(self, text: str, start: int = 0, end: int | None = None):
-        self.text, self.toks, self.at = text, tokens(text, start, end), 0
+    def __init__(self, text: str, start: int = 0, end: int | None = None, *, markup: bool = False):
+        self.text, self.toks, self.at, self.has_markup = text, tokens(text, start, end, markup=markup), 0, markup
 
     # Tokens
 
@@ -536,7 +636,11 @@ class Parser:
         if self.tok.type == "id":
             bindings.append(("default", self.take().text))
             if self.skip("="):
-                raise SyntaxProblem("import by assignment is not covered")
+                # An import by require binds nothing and names no source.
+                node.children.append(self.expression())
+                node.parts = {"source": "", "bindings": []}
+                self.end_statement()
+                return self.close(node)
             self.skip(",")
         if self.skip("*"):
             self.expect("as")
@@ -553,6 +657,9 @@ class Parser:
             self.expect("from")
         node.children.append(self.string())
         node.parts = {"source": unquoted(self.toks[self.at - 1].text), "bindings": bindings + named}
+        if self.is_word("with", "assert") and not self.tok.line_before and self.ahead().text == "{":
+            self.take()
+            node.children.append(self.object())
         self.end_statement()
         return self.close(node)
 
@@ -829,7 +936,14 @@ class Parser:
             self.take()
             return self.close(Node("await" if t.text == "await" else "unary", t.start, children=[self.unary_postfix()]))
         if self.is_op("<"):
-            raise SyntaxProblem("markup and angle assertions are not covered")
+            if self.has_markup:
+                raise SyntaxProblem("an element cannot be read")
+            node = Node("as", t.start)
+            self.take()
+            self.type_(node)
+            self._angle()
+            node.children.append(self.unary_postfix())
+            return self.close(node)
         node = self.postfix(self.new() if self.is_word("new") and self.ahead().text != "." else self.primary(), True)
         if self.is_op("++", "--") and not self.tok.line_before:
             self.take()
@@ -916,14 +1030,34 @@ class Parser:
         node = Node("string", t.start, t.end)
         if t.type == "template":
             for a, b in template_end(self.text, t.start)[1]:
-                inner = Parser(self.text, a, b)
+                inner = Parser(self.text, a, b, markup=self.has_markup)
                 node.children.append(inner.expression())
                 if inner.tok.type != "end":
                     raise SyntaxProblem("unexpected text in a substitution")
         return node
 
+    def markup(self) -> Node:
+        """An element: its names with dots are members, its strings and holes expressions."""
+        t = self.take()
+        node = Node("markup", t.start, t.end)
+        for kind, a, b in markup_end(self.text, t.start, t.end)[1]:
+            if kind == "string":
+                node.children.append(Node("string", a, b))
+            elif kind == "name" and "." in self.text[a:b]:
+                inner = Parser(self.text, a, b)
+                node.children.append(inner.postfix(inner.primary(), False))
+            elif kind == "hole":
+                inner = Parser(self.text, a, b, markup=True)
+                if inner.tok.type != "end":
+                    node.children.append(inner.spread() if inner.is_op("...") else inner.expression())
+                if inner.tok.type != "end":
+                    raise SyntaxProblem("unexpected text in an element")
+        return node
+
     def primary(self) -> Node:
         t = self.tok
+        if t.type == "markup":
+            return self.postfix(self.markup(), True)
         if t.type in ("str", "template"):
             return self.string()
         if t.type in ("num", "regex"):
@@ -1011,9 +1145,9 @@ class Places:
         return line, offset - self.starts[line - 1] + 1
 
 
-def parse(text: str) -> Node:
-    """The program's tree; SyntaxProblem if any part cannot be read."""
+def parse(text: str, *, markup: bool = False) -> Node:
+    """The program's tree; SyntaxProblem if any part cannot be read. markup: whether the grammar has elements."""
     try:
-        return Parser(text).program()
+        return Parser(text, markup=markup).program()
     except RecursionError as e:
         raise SyntaxProblem("too deep") from e
