@@ -381,11 +381,16 @@ def similar_documents(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, ta
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs without all but one document of each class; rows of empty texts stay."""
+    """docs without all but one document of each class; rows of empty texts stay.
+
+    The document of least id stays, null before all, then the one of least text hash; of rows equal in id and text the
+    one of the least hash of all its columns, so that the choice does not depend on the order of tasks.
+    """
     found = similar_documents(docs, **how)
     stay = found.where(F.struct("id", "tag") == F.col("label")).select(F.col("id").alias("keep_id"), F.col("tag").alias("keep_tag")).distinct()
     row = F.struct(*[F.col(c) for c in docs.columns])
     own = docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("tag"))
     kept = own.join(stay, (F.col("id") == F.col("keep_id")) & (F.col("tag") == F.col("keep_tag")), "left_semi")
     blank = F.coalesce(F.col("row.text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*\z")
-    return kept.where(~blank).dropDuplicates(["id", "tag"]).select("row.*").unionByName(own.where(blank).select("row.*"))
+    one = kept.where(~blank).groupBy("id", "tag").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return one.select("row.*").unionByName(own.where(blank).select("row.*"))

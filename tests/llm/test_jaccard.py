@@ -81,6 +81,12 @@ def test_one_of_each_class_stays(spark):
     assert len(kept) == len(found) and all(sum(t in c for t in kept) >= 1 for c in found)
 
 
+def test_equal_rows_but_for_other_columns_keep_the_same_one(spark):
+    rows = [(1, "a b c d e f g", str(i)) for i in range(20)] + [(None, None, "x"), (None, None, "y")]
+    kept = {tuple(keep_one(spark.createDataFrame(rows[::step], "doc_id bigint, text string, note string").repartition(n)).collect()) for step in (1, -1) for n in (1, 5)}
+    assert len({frozenset(k) for k in kept}) == 1 and all(len(k) == 3 for k in kept)
+
+
 def test_null_ids_of_equal_32_bit_hashes_stay_apart(spark):
     one, two = (" ".join(f"k{j}x{i}" for j in range(6)) for i in (171520, 344593))
     df = spark.createDataFrame([(None, one), (None, two), (7, two)], "doc_id bigint, text string")

@@ -54,6 +54,20 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert 40 < len(got) < 60
 
 
+def test_null_ids_and_repeated_rows(spark, tmp_path):
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choices(VOCAB["en"], k=n))
+    texts = [prose(60) for _ in range(6)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] * 2 + [(None, texts[0], "en"), (None, prose(60), "en"), (None, prose(60), None), (None, None, None), (9, None, "en")]
+    rows += [(i + 50, prose(60), "de" if i % 2 else "en") for i in range(20)]
+    spark.createDataFrame([(i, t, x, None if i == 2 else "src", 0) for i, t, x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = sorted((r.doc_id for r in out), key=lambda x: -1 if x is None else x)
+    assert kept == [None, None, None, 1, 2, 3, 4, 5, *range(50, 70)]
+    assert {r.decoded for r in out} == {t for _, t, _ in rows if t}
+
+
 def test_stages_pass_the_columns_of_documents(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     spark.createDataFrame([(1, "a b")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
