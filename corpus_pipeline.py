@@ -21,29 +21,38 @@ def with_text(df: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages; texts without letters or in none of them go."""
+    """Documents in one of the languages; null and empty texts, those without letters and those in none of them go.
+
+    A null source is a host of its own; rows that repeat are judged alike.
+    """
     return identify(docs, keep=tuple(docs.columns)).where("accepted").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of five-word shingle similarity of 0.8 or more: the one of least id."""
+    """One document of each class of five-word shingle similarity of 0.8 or more: the one of least id, null before all.
+
+    Rows that repeat are copies: one stays. Blank texts have no class and stay.
+    """
     return keep_one(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of 35-word windows that stand anywhere else; no document goes."""
+    """Texts without the words of 35-word windows that stand anywhere else; no document goes.
+
+    Null and blank texts become empty ones; n_chars counts the new text.
+    """
     out = remove_repeated(docs, keep=tuple(c for c in docs.columns if c != "text"))
     return with_text(out, docs.columns, "kept_text")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark."""
+    """Documents without any passage of the benchmark; null and empty texts have none, an empty benchmark drops none."""
     out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(c for c in docs.columns if c != "text"))
     return with_text(out.where("n_hit = 0"), docs.columns, "text")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text and what they decode to."""
+    """Ids of every text and what they decode to; a null or empty text has no ids."""
     out = encode_texts(docs, tokenizer("byte_bpe_50k.json"), keep=("doc_id", "lang", "source"), decode=True)
     return out.select("doc.*", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
