@@ -27,7 +27,7 @@ from tessella.llm.textbits import modest_batches, ragged, slices, spread, tidy
 #: The pre-tokenizer's pattern: fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters worked on at once, and words that a worker remembers with their ids.
-CHUNK, REMEMBERED = 2_000_000, 250_000
+CHUNK, REMEMBERED = 1_000_000, 250_000
 
 
 def byte_characters() -> dict[str, int]:

@@ -25,7 +25,7 @@ from tessella.llm.textbits import binaries, chunks, modest_batches, tidy
 from tessella.session import materialize
 
 BUCKETS = 1 << 15
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 #: Rows of host priors that are broadcast at most; more are joined by a shuffle.
 BROADCAST_HOSTS = 200_000
 _CODE = np.arange(256)

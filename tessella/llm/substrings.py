@@ -34,7 +34,7 @@ NO_ID = -(2**63)
 #: Words of a minimiser.
 MINIMISER = 4
 #: Bytes of text that a task works on at once, and of packed strings that a bucket should get.
-CHUNK, BUCKET = 4_500_000, 4_500_000
+CHUNK, BUCKET = 3_000_000, 4_500_000
 #: Bits of the places in which a task remembers super-k-mers.
 PLACES = 18
 
