@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, field
 from functools import cached_property
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.operators import filters, neighbours, ranking, sequence, surfaces, traces, traversal
 from tessella.plans.graph import UNLIMITED, Graph
@@ -28,6 +30,14 @@ class Analysis:
 
     parsed: DataFrame
     built: Built
+    took: dict[str, float] = field(default_factory=dict)
+
+    @property
+    def statistics(self) -> dict[str, float]:
+        """Endpoints, tables, topics and unresolved calls, and the milliseconds of parsing, building and both."""
+        counts = {r["type"]: r["n"] for r in self.built.nodes.groupBy("type").agg(F.count("*").alias("n")).collect()}  # a row a kind of node
+        found = {name: counts.get(kind, 0) for name, kind in (("endpoints", "HTTP_ENDPOINT"), ("tables", "DATABASE_TABLE"), ("topics", "EVENT_TOPIC"))}
+        return found | {"unresolved": self.built.unresolved.count()} | self.took
 
     @property
     def skipped(self) -> DataFrame:
@@ -40,8 +50,28 @@ class Analysis:
 
 def analyze(spark: SparkSession, root: str) -> Analysis:
     """Scan, parse, resolve and build; files that cannot be read are skipped as a whole."""
+    began = time.monotonic()
     parsed = materialize(parse_files(scan(spark, root)), "parsed")
-    return Analysis(parsed, build(resolve(parsed)))
+    read = time.monotonic()
+    built = build(resolve(parsed))
+    built = Built(*[materialize(df, "built") for df in (built.nodes, built.edges, built.unresolved)])
+    ended = time.monotonic()
+    return Analysis(parsed, built, {"parse_ms": 1000 * (read - began), "build_ms": 1000 * (ended - read), "total_ms": 1000 * (ended - began)})
+
+
+def source_root(root: str, path: str, known: dict[str, str] | None = None) -> str:
+    """Where the sources of a graph document lie: $TESSELLA_SOURCE_ROOT, else the folder of the first part of the path
+    that is known, if it exists, else the project's root. known: parts of paths, in lower case, and folders below root.
+    """
+    if named := os.environ.get("TESSELLA_SOURCE_ROOT"):
+        if not Path(named).exists():
+            raise FileNotFoundError(f"TESSELLA_SOURCE_ROOT does not exist: {named}")
+        return named
+    plain = os.path.normpath(path).lower()
+    for part, folder in (known or {}).items():
+        if os.path.normpath(part) in plain and Path(root, folder).exists():
+            return str(Path(root, folder))
+    return root
 
 
 def graph_path(root: str) -> str:

@@ -274,6 +274,12 @@ def gr12_columns(spark, sf_dir):
     return paths.layout_columns(traversal.lineage_nodes(graph, EVENT), found).select("id", F.col("column").cast("long").alias("place"))
 
 
+def win07_column_ranks(spark, sf_dir):
+    graph, found = _ranked(spark, sf_dir)
+    ranks = paths.column_ranks(traversal.lineage_nodes(graph, EVENT), found)
+    return ranks.select("id", F.col("column").cast("long").alias("place"), F.col("row").cast("long").alias("rank"))
+
+
 def gr13_best_through(spark, sf_dir):
     return paths.best_through(_ranked(spark, sf_dir)[1]).select("id", _text("path").alias("path"))
 

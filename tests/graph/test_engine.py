@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from tessella.engine import Explorer, analyze, graph_path
+from tessella.engine import Explorer, analyze, graph_path, source_root
 from tessella.sources.graph_json import write_graph, write_parts
 
 SOURCES = {
@@ -34,6 +34,25 @@ def test_scan_and_summary(analysis):
     assert counts["CLASS"] == 1 and counts["METHOD"] == 3 and counts["IMPORT"] == 3
 
 
+def test_statistics(analysis):
+    found = analysis.statistics
+    assert (found["endpoints"], found["tables"], found["topics"], found["unresolved"]) == (1, 1, 0, 0)
+    assert 0 < found["parse_ms"] < found["total_ms"] and found["build_ms"] > 0
+
+
+def test_source_root(tmp_path, monkeypatch):
+    (tmp_path / "shop").mkdir()
+    known = {"generated/shop": "shop", "generated/none": "none"}
+    root = str(tmp_path)
+    assert source_root(root, "/x/Generated/Shop/graph.json", known) == str(tmp_path / "shop")
+    assert source_root(root, "/x/generated/none/graph.json", known) == source_root(root, "graph.json") == root
+    monkeypatch.setenv("TESSELLA_SOURCE_ROOT", str(tmp_path / "shop"))
+    assert source_root(root, "graph.json") == str(tmp_path / "shop")
+    monkeypatch.setenv("TESSELLA_SOURCE_ROOT", str(tmp_path / "gone"))
+    with pytest.raises(FileNotFoundError):
+        source_root(root, "graph.json")
+
+
 def test_document_round_trip_and_queries(spark, analysis, tmp_path):
     path = str(tmp_path / "graph.json")
     write_graph(analysis.built, path)
