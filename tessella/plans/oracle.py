@@ -133,9 +133,9 @@ ORACLE_SQL = {
     "gr12_columns": f"{_EVENTS}, {_RANKED}, d AS (SELECT direction, place, unnest(path) AS id, generate_subscripts(path, 1) - 1 AS i FROM ranked), s AS (SELECT id, CASE WHEN direction = 'upstream' THEN -i ELSE i END AS depth, direction, place FROM d) SELECT id, CAST(depth AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(depth) DESC, direction DESC, place) AS r FROM s) WHERE r = 1",
     "win07_column_ranks": f"""{_EVENTS}, {_RANKED}, d AS (SELECT direction, place, unnest(path) AS id, generate_subscripts(path, 1) - 1 AS i, len(path) - 1 AS final FROM ranked),
         c AS (SELECT id, CASE WHEN direction = 'upstream' THEN -i ELSE i END AS depth FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i DESC, direction DESC, place) AS r FROM d) WHERE r = 1),
-        m AS (SELECT id, direction, place, CASE WHEN direction = 'upstream' THEN final - i ELSE i END AS at FROM d),
-        f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY direction DESC, place, at) AS r FROM m) WHERE r = 1)
-        SELECT id, CAST(depth AS BIGINT) AS place, row_number() OVER (PARTITION BY depth ORDER BY direction DESC, f.place, at, id) AS rank FROM c JOIN f USING (id)""",
+        m AS (SELECT id, direction, place, CASE WHEN direction = 'upstream' THEN final - i ELSE i END AS spot FROM d),
+        f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY direction DESC, place, spot) AS r FROM m) WHERE r = 1)
+        SELECT id, CAST(depth AS BIGINT) AS place, row_number() OVER (PARTITION BY depth ORDER BY direction DESC, f.place, spot, id) AS rank FROM c JOIN f USING (id)""",
     "gr13_best_through": f"{_EVENTS}, {_RANKED}, d AS (SELECT *, unnest(path) AS id FROM ranked) SELECT id, array_to_string(CASE WHEN direction = 'upstream' THEN list_reverse(path) ELSE path END, ' > ') AS path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY len(path) DESC, direction DESC, place) AS r FROM d) WHERE r = 1",
     "gr14_highlighted": f"{_EVENTS}, h AS (SELECT path, unnest(range(1, len(path))) AS i FROM ends WHERE list_contains(path, 'purchase')) SELECT DISTINCT path[i] AS src, path[i + 1] AS dst FROM h",
     "gr15_default_path": f"{_EVENTS}, {_RANKED} SELECT array_to_string(path, ' > ') AS path FROM ranked WHERE direction = 'downstream' AND place = 1",
