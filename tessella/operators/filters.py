@@ -18,7 +18,7 @@ SURFACES = ("http_endpoint", "database_table", "event_topic")
 
 def _closure(graph: Graph, starts: DataFrame, direction: str) -> DataFrame:
     """id: all nodes that can be reached from any of the starts, these included."""
-    return rounds(starts.select(F.col("id").alias("cur")).distinct(), graph.adjacency(direction), [], None).select(F.col("cur").alias("id"))
+    return rounds(starts.select(F.col("id").alias("cur")).distinct(), lambda frontier: graph.onward(frontier, direction), [], None).select(F.col("cur").alias("id"))
 
 
 def concern_nodes(lineage: Graph, target: str, concern: str) -> DataFrame:

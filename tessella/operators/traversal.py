@@ -6,6 +6,7 @@ lost executor costs one round. Paths are enumerated only for path queries, where
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,14 +17,15 @@ from tessella.plans.graph import EDGE_KEY, UNLIMITED, Graph
 from tessella.session import materialize
 
 
-def rounds(seeds: DataFrame, steps: DataFrame, by: list[str], most: int | None, allowed=None) -> DataFrame:
-    """by, cur, depth: the least number of steps from each seed row to every node, at most `most` of them."""
+def rounds(seeds: DataFrame, onward: Callable[[DataFrame], DataFrame], by: list[str], most: int | None) -> DataFrame:
+    """by, cur, depth: the least number of steps from each seed row to every node, at most `most` of them.
+
+    onward gives the steps from a frontier of the columns by and cur, to next.
+    """
     seen = [materialize(seeds.withColumn("depth", F.lit(0)), "round")]
     while most is None or len(seen) <= most:
         known = reduce(DataFrame.unionByName, seen).select(*by, "cur")
-        ahead = seen[-1].join(steps, "cur").select(*by, F.col("next").alias("cur"))
-        if allowed is not None:
-            ahead = ahead.where(allowed)
+        ahead = onward(seen[-1].select(*by, "cur")).select(*by, F.col("next").alias("cur"))
         fresh = materialize(ahead.distinct().join(known, [*by, "cur"], "left_anti").withColumn("depth", F.lit(len(seen))), "round")
         if not fresh.limit(1).count():
             break
@@ -34,7 +36,7 @@ def rounds(seeds: DataFrame, steps: DataFrame, by: list[str], most: int | None,
 def reachable(graph: Graph, start: str, direction: str = "downstream", depth: int = UNLIMITED) -> DataFrame:
     """id, depth: the nodes that can be reached from start, start included."""
     seed = graph.target(start).select(F.col("id").alias("cur"))
-    return rounds(seed, graph.adjacency(direction), [], depth or None).select(F.col("cur").alias("id"), "depth")
+    return rounds(seed, lambda frontier: graph.onward(frontier, direction), [], depth or None).select(F.col("cur").alias("id"), "depth")
 
 
 def hops(graph: Graph, target: str, depth: int = UNLIMITED) -> DataFrame:
@@ -71,16 +73,20 @@ def lineage_edges(graph: Graph, target: str, depth: int = UNLIMITED) -> DataFram
     """
     taken = []
     for direction in ("upstream", "downstream"):
-        steps = graph.adjacency(direction).where((F.col("cur") != F.col("next")) & (F.col("next") != target))
         near = materialize(reachable(graph, target, direction, depth), "near")
-        at = steps.join(near.select(F.col("id").alias("cur"), F.col("depth").alias("from_depth")), "cur")
+        at = graph.onward(near.select(F.col("id").alias("cur"), F.col("depth").alias("from_depth")), direction)
+        at = at.where((F.col("cur") != F.col("next")) & (F.col("next") != target))
         both = at.join(near.select(F.col("id").alias("next"), F.col("depth").alias("to_depth")), "next", "left")
         back = F.col("to_depth").isNotNull() & (F.col("to_depth") < F.col("from_depth"))
         both = materialize(both.withColumn("back", back), "steps")
         taken.append(both.where(~F.col("back")).select(*EDGE_KEY))
         avoided = both.where("back").select(F.col("next").alias("avoided")).distinct()
+        if avoided.isEmpty():
+            continue
         seeds = avoided.withColumn("cur", F.lit(target))
-        free = rounds(seeds, steps.select("cur", "next"), ["avoided"], depth or None, F.col("cur") != F.col("avoided"))
+        # Such a search stays among the nodes of near, so the steps found from them are all that it needs.
+        steps = both.select("cur", "next")
+        free = rounds(seeds, lambda frontier: frontier.join(steps, "cur").where(F.col("next") != F.col("avoided")), ["avoided"], depth or None)
         kept = both.where("back").join(free.select(F.col("avoided").alias("next"), "cur"), ["next", "cur"], "left_semi")
         taken.append(kept.select(*EDGE_KEY))
     return reduce(DataFrame.unionByName, taken).distinct()
@@ -91,11 +97,10 @@ def maximal_paths(graph: Graph, target: str, direction: str, depth: int = UNLIMI
 
     With a depth, paths that go on beyond it are left out, not cut. Parallel edges give a path each.
     """
-    steps = graph.adjacency(direction).select("cur", "next", "key")
     first = graph.target(target).select(F.array("id").alias("path"), F.array().cast("array<string>").alias("ord"))
     frontier, ended, level = first, [], 0
     while depth == UNLIMITED or level <= depth:
-        onward = frontier.withColumn("cur", F.element_at("path", -1)).join(steps, "cur").where(~F.array_contains("path", F.col("next")))
+        onward = graph.onward(frontier.withColumn("cur", F.element_at("path", -1)), direction).where(~F.array_contains("path", F.col("next")))
         onward = materialize(onward.select("path", "ord", "next", "key"), "paths")
         if level:
             ended.append(frontier.join(onward.select("ord").distinct(), "ord", "left_anti").select("path", "ord"))

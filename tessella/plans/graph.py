@@ -26,11 +26,16 @@ class Graph:
         """The same graph written once, for queries that read it in many rounds."""
         return Graph(materialize(self.nodes, "nodes"), materialize(self.edges, "edges"))
 
-    def adjacency(self, direction: str) -> DataFrame:
-        """cur, next, key and the edge: steps that end at a known node. key orders the steps of one node."""
+    def onward(self, frontier: DataFrame, direction: str) -> DataFrame:
+        """frontier (with a column cur) and next, key and the edge of each step from cur that ends at a known node.
+
+        key orders the steps of one node. The frontier meets the edges first, so a round shuffles what it reaches and
+        not the graph: a frontier whose stored size is small is broadcast to the scan of the edges.
+        """
         ends = ("dst", "src") if direction == "upstream" else ("src", "dst")
         steps = self.edges.select(F.col(ends[0]).alias("cur"), F.col(ends[1]).alias("next"), step_key(F.col(ends[1]), F.col("relation")).alias("key"), *EDGE_KEY)
-        return steps.join(self.nodes.select(F.col("id").alias("next")), "next", "left_semi")
+        # An inner join: Catalyst would push a semi-join below the first one, back to all edges.
+        return frontier.join(steps, "cur").join(self.nodes.select(F.col("id").alias("next")).distinct(), "next")
 
     def target(self, target: str) -> DataFrame:
         """The node's row; an error if there is none."""
