@@ -61,3 +61,19 @@ def test_graph_of_a_view(spark):
     view = "function:src/view.tsx#List"
     assert {(view, "CALLS", "function:src/api.ts#load"), (view, "CALLS", "function:src/api.ts#save"), ("module:src/view.tsx", "IMPORTS", "module:src/api.ts")} <= edges
     assert [u.expression for u in built.unresolved.collect()] == ["items.map"]
+
+
+def test_a_return_has_the_nearest_condition_around_it():
+    """Of an if, both branches have its condition, and so have functions inside; a return behind it has none."""
+    text = """function pick(o) {
+  if (o.kind === 'one') { return a(); }
+  else { return b(); }
+  if (o.far) { if (o.near == 'x') return c(); else return d(); }
+  if (o.list) { return items.map(function (i) { return e(); }); }
+  return f();
+}
+"""
+    said = lambda expr: expr and text[slice(*map(int, expr.split(":")[:2]))]
+    got = [(said(f["expr"]), said(f.get("condition"))) for f in facts("a.ts", text) if f["kind"] == "RETURN"]
+    one, near, inner = "o.kind === 'one'", "o.near == 'x'", "items.map(function (i) { return e(); })"
+    assert got == [("a()", one), ("b()", one), ("c()", near), ("d()", near), (inner, "o.list"), ("e()", "o.list"), ("f()", None)]
