@@ -41,7 +41,7 @@ def gr01_lineage_nodes(spark, sf_dir):
 
 
 def gr01_lineage_edges(spark, sf_dir):
-    return _lineage(spark, sf_dir)[2]
+    return traversal.lineage_edges(_services(spark, sf_dir).stored(), CUSTOMER, 2)
 
 
 def gr01_cyclic_nodes(spark, sf_dir):
@@ -203,7 +203,7 @@ def flt05_concern(spark, sf_dir):
 
 
 def flt06_direction(spark, sf_dir):
-    return filters.direction_nodes(_lineage(spark, sf_dir)[1], "upstream").select("id", "hop")
+    return filters.direction_nodes(_near(spark, sf_dir), "upstream").select("id", "hop")
 
 
 def flt07_induced(spark, sf_dir):
